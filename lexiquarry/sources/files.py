@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive: bool = True) -> DataFrame:
-    """Files that match: path, modificationTime, length, content (read only where a query needs it)."""
+    """Files that match: path, modificationTime, length, content (read only where a query needs it). Empty files are left out."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
 
 
