@@ -492,6 +492,57 @@ def k1_bulk_insert(spark, sf):
     return merge.insert(d, new, optional=["diagram_url"])
 
 
+@query(f"""WITH {BANK} SELECT id, CASE WHEN length(question) > 90 THEN question[1:90] || '…' ELSE question END AS preview, substr(question, 1, 500) AS prefix,
+coalesce(correct_answer, '') <> '' OR coalesce(diagram_url, '') <> '' AS shown, coalesce(lower(trim(correct_answer)) = 'a', false) AS correct,
+array_to_string(list_filter([nullif(subject, ''), nullif(chapter, ''), nullif(correct_answer, '')], lambda x: x IS NOT NULL), ' ') AS joined FROM bank""")
+def p4_p11_x3_projections(spark, sf):
+    b, c = bank(spark, sf), F.col
+    shown = text.option_shown(c("correct_answer"), c("diagram_url"))
+    return b.select("id", text.preview(c("question")).alias("preview"), F.substring("question", 1, 500).alias("prefix"), shown.alias("shown"), text.is_correct_option("a", c("correct_answer")).alias("correct"), text.joined(c("subject"), c("chapter"), c("correct_answer")).alias("joined"))
+
+
+@query("SELECT l_orderkey AS page, coalesce(min(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 0)::DOUBLE AS begin FROM lineitem GROUP BY 1")
+def a12_first_positions(spark, sf):
+    return files.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.coalesce(F.min(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))), F.lit(0.0)).alias("begin"))
+
+
+@query("""WITH d AS (SELECT l_orderkey AS page, min(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS begin FROM lineitem GROUP BY 1)
+SELECT l_orderkey, l_linenumber FROM lineitem JOIN d ON page = l_orderkey WHERE l_quantity >= coalesce(begin, 0)""")
+def j6_range_condition(spark, sf):
+    li = files.table(spark, sf, "lineitem")
+    begin = li.groupBy("l_orderkey").agg(F.coalesce(F.min(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))), F.lit(0.0)).alias("begin"))
+    return li.join(begin, "l_orderkey").where("l_quantity >= begin").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderstatus AS subject, o_custkey AS test_number, max(o_orderkey) AS version FROM orders GROUP BY 1, 2")
+def k5_upsert_sets(spark, sf):
+    o = files.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("subject"), F.col("o_custkey").alias("test_number"), F.col("o_orderkey").alias("version"))
+    return merge.upsert(o.where("false"), o, ["subject", "test_number"], "version")
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM benchmark) AS items")
+def j10_independent_reads(spark, sf):
+    return files.table(spark, sf, "documents").agg(F.count("*").alias("documents")).crossJoin(files.table(spark, sf, "benchmark").agg(F.count("*").alias("items")))
+
+
+@query(f"WITH {BANK} SELECT count(*) AS available, least(count(*), 45) AS returned FROM bank WHERE subject = 'fr'")
+def t9_available(spark, sf):
+    return sample.available(bank(spark, sf).where("subject = 'fr'"), 45)
+
+
+@query(f"WITH {BANK} SELECT count(*) FILTER (subject <> '' AND is_active) AS success, count(*) FILTER (NOT (subject <> '' AND is_active)) AS failed FROM bank")
+def k2_insert_counts(spark, sf):
+    from ..sources import sinks
+
+    return sinks.split_status(bank(spark, sf), (F.col("subject") != "") & F.col("is_active"))[1]
+
+
+@query("SELECT event_id, regexp_replace(props, '[^0-9]', '', 'g') AS digits, replace(replace(props, '{', ''), '}', '') AS flat, value > 0 AND value <= 720 AS valid FROM events")
+def x16_x20_cleanup(spark, sf):
+    e = files.table(spark, sf, "events")
+    return e.select("event_id", text.digits(F.col("props")).alias("digits"), F.translate("props", "{}", "").alias("flat"), scoring.valid(F.col("value")).alias("valid"))
+
+
 # --- payloads, papers, state: no SQL form, tested on fixtures -----------------------------------
 
 
@@ -545,7 +596,11 @@ def u12_extract_pages(spark, sf):
     return out.select("doc", "page", "failed", F.size("embedding").alias("size"))
 
 
-@query()
+@query("""WITH b AS (SELECT l_orderkey AS page, l_linenumber AS ord, l_quantity AS y0, l_returnflag = 'R' AS image, l_linenumber || '. q' AS line, l_partkey * 10 + l_suppkey % 10 AS xref FROM lineitem),
+t AS (SELECT xref FROM b WHERE image GROUP BY 1 HAVING count(DISTINCT page) > 1),
+s AS (SELECT page, coalesce(min(CASE WHEN NOT image THEN y0 END), 0) AS begin FROM b GROUP BY 1),
+e AS (SELECT page, y0, ord, line FROM b WHERE NOT image UNION ALL SELECT page, y0, ord, '<<<DIAGRAM_HERE>>>' FROM b JOIN s USING (page) WHERE image AND y0 >= begin AND xref NOT IN (SELECT xref FROM t))
+SELECT 1 AS doc, page, string_agg(line, E'\\n' ORDER BY y0, ord, line) AS text FROM e GROUP BY page""")
 def a13_reading_order(spark, sf):
     li = files.table(spark, sf, "lineitem")
     blocks = li.select(F.lit(1).alias("doc"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("ord"), F.col("l_quantity").alias("y0"), F.when(F.col("l_returnflag") == "R", "image").otherwise("text").alias("kind"), F.concat(F.col("l_linenumber").cast("string"), F.lit(". q")).alias("text"), (F.col("l_partkey") * 10 + F.col("l_suppkey") % 10).alias("xref"))
