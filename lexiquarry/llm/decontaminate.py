@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import runtime
+
 WINDOW = 10
 GRAM = 5
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -26,14 +28,15 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _at(a: Column, i: Column) -> Column:
-    """Element i, from 0; null outside."""
-    return F.when((i >= 0), F.get(a, i))
+def _padded(h: Column) -> Column:
+    """The hashes with nulls for what a window could reach beyond the text."""
+    nulls = lambda n: F.array(*[F.lit(None).cast("bigint")] * n)
+    return F.concat(nulls(WINDOW - GRAM), h, nulls(WINDOW - 1))
 
 
-def _context(h: Column, p: Column) -> Column:
+def _context(padded: Column, p: Column) -> Column:
     """The words around a k-gram at p: all that a window which holds it can reach, null outside the text."""
-    return F.transform(F.sequence(p - (WINDOW - GRAM), p + (WINDOW - 1)), lambda i: _at(h, i))
+    return F.slice(padded, p + 1, F.lit(2 * WINDOW - GRAM))
 
 
 def fingerprints(h: Column, short: list[int]) -> Column:
@@ -51,18 +54,19 @@ def fingerprints(h: Column, short: list[int]) -> Column:
         least = F.transform(F.sequence(F.lit(0), F.size(g) - w), lambda j: F.least(*[F.get(g, j + x) for x in range(w)]))
 
         def picked(m: Column) -> Column:
-            def keep(x: Column, i: Column) -> Column:
-                return F.struct(i.alias("pos"), x.alias("fp"), F.lit(WINDOW).alias("n"), F.greatest(*[F.coalesce(_at(m, i - j) == x, F.lit(False)) for j in range(w)]).alias("kept"))
-
-            return F.filter(F.transform(g, keep), lambda s: s["kept"])
+            # no window that holds position i has a greater minimum than its own value, so one has it if the greatest is it
+            kept = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.get(g, i) == F.greatest(*[F.get(m, i - j) for j in range(w)]))
+            return F.transform(kept, lambda i: F.struct(i.alias("pos"), F.get(g, i).alias("fp"), F.lit(WINDOW).alias("n")))
 
         return _let(least, picked)
 
     empty = F.array().cast("array<struct<pos:int,fp:bigint,n:int>>")
-    parts = [F.when(F.size(h) >= WINDOW, F.transform(_let(grams(GRAM), winnow), lambda s: F.struct(s["pos"].alias("pos"), s["fp"].alias("fp"), s["n"].alias("n")))).otherwise(empty)]
-    for n in short:
-        parts.append(F.when(F.size(h) >= n, F.transform(grams(n), lambda x, i, n=n: F.struct(i.alias("pos"), x.alias("fp"), F.lit(n).alias("n")))).otherwise(empty))
-    return F.concat(*parts)
+    parts = [F.when(F.size(h) >= WINDOW, _let(grams(GRAM), winnow)).otherwise(empty)]
+
+    def whole(n: int) -> Column:
+        return F.when(F.size(h) >= n, F.transform(grams(n), lambda x, i: F.struct(i.alias("pos"), x.alias("fp"), F.lit(n).alias("n")))).otherwise(empty)
+
+    return F.concat(*parts, *[whole(n) for n in short])
 
 
 def item_fingerprints(items: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -72,7 +76,7 @@ def item_fingerprints(items: DataFrame) -> tuple[DataFrame, list[int]]:
     short = sorted(r["n"] for r in lengths.collect())  # nine lengths at most
     own = F.when(F.size("h") >= WINDOW, F.filter(F.col("f"), lambda s: s["n"] == WINDOW)).otherwise(F.filter(F.col("f"), lambda s: s["n"] == F.size("h")))
     each = hashed.withColumn("f", fingerprints(F.col("h"), short)).select("item_id", "h", F.explode(own).alias("s"))
-    surround = each.select("item_id", F.col("s.fp").alias("fp"), F.col("s.n").alias("n"), _context(F.col("h"), F.col("s.pos")).alias("ctx"))
+    surround = each.select("item_id", F.col("s.fp").alias("fp"), F.col("s.n").alias("n"), _context(_padded(F.col("h")), F.col("s.pos")).alias("ctx"))
     return surround.groupBy("fp", "n", "ctx").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")), short
 
 
@@ -102,6 +106,8 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_fingerprints: int
     small = found.limit(broadcast_fingerprints + 1).count() <= broadcast_fingerprints
     extra = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
     hashed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *extra, word_hashes(F.col("text")).alias("h"))
+    if not small:
+        hashed = runtime.materialise(hashed, "hashed")  # two branches read it and must agree on the row numbers
     rows = hashed.withColumn("f", fingerprints(F.col("h"), short))
     carried = ["row", "doc_id", *[f"keep_{i}" for i in range(len(keep))]]
 
@@ -112,28 +118,32 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_fingerprints: int
     n_words = F.size("h").alias("n_words")
     # the row itself comes along once, as a fingerprint at no position
     marker = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("fp"), F.lit(0).alias("n")))
+    keys = (F.col("fp") == F.col("i_fp")) & (F.col("n") == F.col("i_n"))
     if small:
-        each = rows.select(*carried, n_words, "h", F.explode(F.concat(marker, "f")).alias("s")).select(*carried, "n_words", "h", "s.pos", "s.fp", "s.n")
-        hits = each.join(F.broadcast(found), (F.col("fp") == F.col("i_fp")) & (F.col("n") == F.col("i_n")), "left")
-        hits = lean(hits.where((F.col("pos") < 0) | F.col("i_fp").isNotNull())).withColumn("ctx", F.when(F.col("pos") >= 0, _context(F.col("h"), F.col("pos")))).drop("h")
+        # From the explosion to the words that a hit covers, all expressions are compiled into one stage. So an exploded row
+        # is no copy of its document, and only hits and markers leave the stage.
+        each = rows.select(*carried, n_words, _padded(F.col("h")).alias("padded"), F.explode(F.concat(marker, "f")).alias("s")).select(*carried, "n_words", "padded", "s.pos", "s.fp", "s.n")
+        hits = each.join(F.broadcast(found), keys, "left").where((F.col("pos") < 0) | F.col("i_fp").isNotNull())
+        hits = lean(hits.withColumn("ctx", F.when(F.col("pos") >= 0, _context(F.col("padded"), F.col("pos")))).drop("padded"))
     else:
-        each = rows.select("row", F.explode("f").alias("s"), "h").select("row", "s.pos", "s.fp", "s.n", _context(F.col("h"), F.col("s.pos")).alias("ctx"))
-        joined = each.join(found, (F.col("fp") == F.col("i_fp")) & (F.col("n") == F.col("i_n")))
-        hits = joined.unionByName(rows.select(*carried, n_words, F.lit(-1).alias("pos")), allowMissingColumns=True)
-    left = _reach(F.col("ctx"), F.col("i_ctx"), list(range(WINDOW - GRAM - 1, -1, -1)))
-    right = _reach(F.col("ctx"), F.col("i_ctx"), list(range(WINDOW - GRAM, 2 * WINDOW - GRAM)))
-    spans = hits.withColumns({"left": left, "right": right})
-    whole = (F.col("pos") >= 0) & F.when(F.col("n") == WINDOW, (F.col("right") >= GRAM) & (F.col("left") + F.col("right") >= WINDOW)).otherwise(F.col("right") >= F.col("n"))
-    lead = F.when(F.col("n") == WINDOW, F.col("left")).otherwise(0)
-    # a short item covers its own words only
-    span = F.struct((F.col("pos") - lead).alias("start"), (F.col("pos") + F.when(F.col("n") == WINDOW, F.col("right")).otherwise(F.col("n"))).alias("end"))
+        each = rows.select("row", _padded(F.col("h")).alias("padded"), F.explode("f").alias("s")).select("row", "s.pos", "s.fp", "s.n", _context(F.col("padded"), F.col("s.pos")).alias("ctx"))
+        hits = each.join(found, keys).unionByName(rows.select(*carried, n_words, F.lit(-1).alias("pos")), allowMissingColumns=True)
+    before = WINDOW - GRAM
+    left = _reach(F.col("ctx"), F.col("i_ctx"), list(range(before - 1, -1, -1)))
+    right = _reach(F.col("ctx"), F.col("i_ctx"), list(range(before, before + WINDOW)))
+    hits = hits.withColumns({"left": left, "right": right})
+    # a short item is one window, and covers its own words only
+    long = (F.col("n") == WINDOW) & (F.col("right") >= GRAM) & (F.col("left") + F.col("right") >= WINDOW)
+    short_hit = (F.col("n") < WINDOW) & (F.col("right") >= F.col("n"))
+    pos = F.col("pos")
+    span = F.when(long, F.struct((pos - F.col("left")).alias("start"), (pos + F.col("right")).alias("end"))).when(short_hit, F.struct(pos.alias("start"), (pos + F.col("n")).alias("end")))
     per_row = (
-        spans.where((F.col("pos") < 0) | whole)
+        hits.withColumn("span", F.when(pos >= 0, span))
         .groupBy("row")
         .agg(
             *[F.first(F.when(F.col("pos") < 0, F.struct(F.col(c).alias("v"))), ignorenulls=True)["v"].alias(c) for c in [*carried[1:], "n_words"]],
-            F.collect_set(F.when(F.col("pos") >= 0, span)).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("pos") >= 0, F.col("item_ids")))))).alias("item_ids"),
+            F.collect_set("span").alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("span").isNotNull(), F.col("item_ids")))))).alias("item_ids"),
         )
     )
     merged = F.aggregate(
