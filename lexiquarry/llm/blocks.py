@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from . import runtime
 
 #: UTF-8 bytes of text in a block (a longer document makes a block by itself).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Rows in a block at most, so that block and row fit one long.
 BLOCK_ROWS = 1 << 16
 NULL_ID = -(1 << 63)
@@ -43,7 +44,7 @@ def pack(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"), block_b
             return pa.RecordBatch.from_pydict({"block": pa.array([(part << 24) + seq], pa.int64()), "n": pa.array([sum(b.num_rows for b in held)], pa.int32()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
         for whole in batches:
-            lengths = np.cumsum(whole.column("text").cast(pa.large_string()).cast(pa.large_binary()).fill_null(b"").to_pandas().str.len().to_numpy(dtype=np.int64)) if whole.num_rows else []
+            lengths = np.cumsum(pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
             while at < whole.num_rows:
                 before = lengths[at - 1] if at else 0
@@ -114,8 +115,8 @@ def cuts(sorted_keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
 
 
 def parts_for(blocks: DataFrame) -> int:
-    """Parts of an exchange: one for every four blocks, so that a part's requests are bounded by what four blocks ask."""
-    return max(8, -(-blocks.count() // 4))
+    """Parts of an exchange: one for every two blocks, so that a part's requests are bounded by what two blocks ask."""
+    return max(8, -(-blocks.count() // 2))
 
 
 def ask(blocks: DataFrame, fn: Callable[..., Iterator[tuple[int, bytes]]], answers: DataFrame | None = None) -> DataFrame:
@@ -159,11 +160,12 @@ def _each(blocks, answers, schema, put, fn):
     return df.mapInArrow(run, schema)
 
 
-def reduce(requests: DataFrame, fn: Callable[[int, list[bytes]], list[bytes]]) -> DataFrame:
+def reduce(requests: DataFrame, parts: int, fn: Callable[[int, list[bytes]], list[bytes]]) -> DataFrame:
     """(block, p, data): fn(part, requests of all blocks) returns an answer for each."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         return pd.DataFrame({"block": pdf["block"].to_numpy(), "p": pdf["p"].to_numpy(), "data": fn(int(pdf["p"].iloc[0]), list(pdf["data"]))})
 
-    return requests.groupBy("p").applyInPandas(run, "block long, p int, data binary")
+    # a partition for each part: they are small in bytes, and would be put together, but not quick
+    return requests.repartition(parts, "p").groupBy("p").applyInPandas(run, "block long, p int, data binary")

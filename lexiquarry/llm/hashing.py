@@ -102,14 +102,14 @@ def sliding_argmin(g: np.ndarray, w: int) -> np.ndarray:
 
 
 #: Windows that are looked at together; longer inputs go through in overlapping pieces.
-PIECE = 1 << 19
+PIECE = 1 << 18
 
 
-def anchors(values: np.ndarray, doc_of_end: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(values: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Assign every window of ``length`` values to one anchor.
 
-    values: of several documents, one after another; doc_of_end[i]: the end of the document that
-    holds position i. A window belongs to the position of its least k-gram. Returns, for runs of
+    values: of several documents, one after another, which begin at ``offsets`` (and at its last entry the
+    values end). A window belongs to the position of its least k-gram. Returns, for runs of
     consecutive windows with one anchor: anchor hash, anchor position, first and last window start.
     A run ends at a document's end and where a piece ends.
     """
@@ -119,7 +119,9 @@ def anchors(values: np.ndarray, doc_of_end: np.ndarray, length: int, k: int) ->
         m = len(part) - length + 1
         g = gram_hash(part, k)
         where = sliding_argmin(g, length - k + 1)
-        starts = np.flatnonzero(np.arange(base, base + m) + length <= doc_of_end[base : base + m])
+        own = slice(np.searchsorted(offsets, base, "right") - 1, np.searchsorted(offsets, base + m, "left") + 1)
+        begin, end = np.clip(offsets[own][:-1] - base, 0, m), offsets[own][1:] - base
+        starts = np.flatnonzero(np.arange(length, m + length, dtype=np.int32) <= np.repeat(end, np.diff(np.append(begin, m))))
         if not len(starts):
             continue
         at = where[starts]

@@ -33,7 +33,7 @@ class _Scan:
         self.words = np.concatenate([np.zeros(0, np.uint64), *hashes])
         sizes = np.array([len(s) for s, _ in self.spans], np.int64)
         self.offset = np.concatenate(([0], np.cumsum(sizes)))
-        self.hash, self.at, self.lo, self.hi = anchors(self.words, np.repeat(self.offset[1:], sizes), window, phrase)
+        self.hash, self.at, self.lo, self.hi = anchors(self.words, self.offset, window, phrase)
         self.doc = np.searchsorted(self.offset, self.at, "right") - 1
         self.keys, self.which = np.unique(self.hash, return_inverse=True)
 
@@ -50,19 +50,26 @@ class _Scan:
         rec = np.flatnonzero(again[self.which])
         hit = np.zeros(len(self.words) + 1, bool)
         if len(rec):
-            # words of confirmed phrases get numbers, all others share the number 0
+            # words of confirmed phrases get numbers, all others share the number 0; a number is written in digits of
+            # 64 symbols, with symbols of its own for each place, so nodes have few children and matches begin at words
             inside = np.unique(np.concatenate([self.words[self.at[rec] + i] for i in range(phrase)]))
-            at = np.minimum(np.searchsorted(inside, self.words), len(inside) - 1)
-            numbers = np.where(inside[at] == self.words, at + 1, 0)
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            places = max(1, -(-len(inside).bit_length() // 6))
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
+
+            def spelled(words: np.ndarray) -> str:
+                at = np.minimum(np.searchsorted(inside, words), len(inside) - 1)
+                numbers = np.where(inside[at] == words, at + 1, 0)
+                return np.stack([(numbers >> 6 * k & 63) + 64 * k for k in range(places)], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+
             _, one = np.unique(self.hash[rec], return_index=True)
-            for x in self.at[rec[one]]:
-                automaton.add_word(tuple(numbers[x : x + phrase].tolist()), 1)
+            keys = spelled(self.words[self.at[rec[one]][:, None] + np.arange(phrase)].ravel())
+            for x in range(0, len(keys), phrase * places):
+                automaton.add_word(keys[x : x + phrase * places], True)
             automaton.make_automaton()
-            for i in np.unique(self.doc[rec]):
-                a, b = self.offset[i], self.offset[i + 1]
-                ends = [e for e, _ in automaton.iter(tuple(numbers[a:b].tolist()))]
-                hit[a + np.array(ends, np.int64) - phrase + 1] = True
+            for a in range(0, len(self.words), _RUN // 4):
+                text = spelled(self.words[a : a + _RUN // 4 + phrase - 1])
+                ends = np.fromiter((e for e, _ in automaton.iter(text)), np.int64)
+                hit[a + (ends + 1) // places - phrase] = True
         rec = rec[hit[self.at[rec]]]
         rec = rec[np.lexsort((self.at[rec], self.ids[self.doc[rec]]))]
         self.hash, self.at, self.lo, self.hi, self.doc = (x[rec] for x in (self.hash, self.at, self.lo, self.hi, self.doc))
@@ -148,8 +155,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Data
         cut = np.cumsum([0, *[len(g["n"]) for g in got]])
         return [B.dumps(bits=bits[a:b]) for a, b in zip(cut, cut[1:])]
 
-    confirmed = runtime.materialise(B.reduce(B.ask(packed, ask_phrases), confirm), "confirmed")
-    verdicts = runtime.materialise(B.reduce(B.ask(packed, ask_windows, confirmed), compare), "verdicts")
+    confirmed = runtime.materialise(B.reduce(B.ask(packed, ask_phrases), parts, confirm), "confirmed")
+    verdicts = runtime.materialise(B.reduce(B.ask(packed, ask_windows, confirmed), parts, compare), "verdicts")
 
     def apply(table, answers):
         s = _Scan(table, window, phrase)

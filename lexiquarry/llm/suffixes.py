@@ -9,18 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .hashing import anchors
+from .hashing import PIECE, anchors, mix, prefix_sums, span_hash
 from . import runtime
 
 MIN_BYTES = 100
 #: Suffixes in a batch of the index family.
-BATCH = 1 << 14
+BATCH = 1 << 16
 
 
 class SuffixLevels:
     """Suffix arrays over batches of suffixes, of geometrically growing sizes.
 
-    A suffix is cut to the bytes that make a match. Each new batch is sorted into a suffix array of
+    A suffix is cut to the bytes that make a match, and given by these or by its place in their order. Each new batch is sorted into a suffix array of
     its own and merge-scanned against the arrays that exist; then arrays of like size merge, so n
     suffixes lie in about log2(n / batch) arrays and each is merged as often.
     """
@@ -29,7 +29,7 @@ class SuffixLevels:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, suffixes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-        """Whether each suffix (fixed-length bytes) equals one of a smaller rank; ranks ascend from batch to batch."""
+        """Whether each suffix equals one of a smaller rank; ranks ascend from batch to batch."""
         order = np.lexsort((ranks, suffixes))
         array, own = suffixes[order], ranks[order]
         new = np.ones(len(array), bool)
@@ -68,8 +68,7 @@ class _Scan:
         sizes = np.array([len(t) for t in self.texts], np.int64)
         self.offset = np.concatenate(([0], np.cumsum(sizes)))
         self.buf = b"".join(self.texts)
-        ends = np.repeat(self.offset[1:], sizes)
-        self.hash, self.at, self.lo, self.hi = anchors(np.frombuffer(self.buf, np.uint8), ends, length, gram)
+        self.hash, self.at, self.lo, self.hi = anchors(np.frombuffer(self.buf, np.uint8), self.offset, length, gram)
         self.keys, self.which, self.count = np.unique(self.hash, return_inverse=True, return_counts=True)
         self.length = length
 
@@ -92,6 +91,39 @@ class _Scan:
         self.heads = heads[np.argsort(self.hash[heads], kind="stable")]
 
 
+def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of raw[starts:ends], spans of less than a piece, in ascending order."""
+    out = np.zeros(len(starts), np.uint64)
+    if not len(starts):
+        return out
+    most = int((ends - starts).max())
+    for base in range(0, len(raw), PIECE):
+        own = slice(*np.searchsorted(starts, (base, base + PIECE)))
+        sums = prefix_sums(raw[base : base + PIECE + most].astype(np.uint64) + np.uint64(1))
+        out[own] = span_hash(sums, starts[own] - base, ends[own] - base)
+    return out
+
+
+def _lexical_ranks(raw: np.ndarray, starts: np.ndarray, kind: np.ndarray, length: int) -> np.ndarray:
+    """Place of each suffix in the order of their first ``length`` bytes; equal bytes have equal places.
+
+    One suffix of each kind (a hash) is sorted by its bytes; the others are compared with it, and any that
+    differs is sorted by its own.
+    """
+    view = np.lib.stride_tricks.sliding_window_view(raw, length)
+    _, first, which = np.unique(kind, return_index=True, return_inverse=True)
+    odd = [np.zeros(0, np.int64)]
+    for a in range(0, len(starts), 1 << 15):
+        part = slice(a, a + (1 << 15))
+        odd.append(a + np.flatnonzero((view[starts[part]] != view[starts[first[which[part]]]]).any(axis=1)))
+    odd = np.concatenate(odd)
+    chosen = np.concatenate((first, odd))
+    _, place = np.unique(np.ascontiguousarray(view[starts[chosen]]).view(f"S{length}").ravel(), return_inverse=True)
+    out = place[which]
+    out[odd] = place[len(first) :]
+    return out
+
+
 def _gram(length: int) -> int:
     """At most 64 windows share an anchor, as one bit of a long stands for each."""
     return max(length - 63, -(-length // 3))
@@ -108,8 +140,8 @@ def repeats(docs: DataFrame, length: int = MIN_BYTES, keep: tuple[str, ...] = ()
 
     Every string belongs to the anchor that its content selects, so equal strings meet at equal
     anchors. Round one finds the anchors that occur again. Round two sends the bytes around these,
-    once for equal surroundings, to reducers by anchor hash; there the suffixes go, in the order of the
-    corpus, batch by batch into ``SuffixLevels``, which compares the bytes themselves. The answer is
+    once for equal surroundings, to reducers by anchor hash; there the suffixes are ordered by
+    their bytes and go, in the order of the corpus, batch by batch into ``SuffixLevels``. The answer is
     one bit for each string. A hot passage meets in one row a block and surrounding, not one a document.
     """
     if length < 12:
@@ -145,12 +177,12 @@ def repeats(docs: DataFrame, length: int = MIN_BYTES, keep: tuple[str, ...] = ()
         data = b"".join(g["data"].tobytes() for g in got)
         start = np.concatenate(([0], np.cumsum(size.astype(np.int64))))
         order = np.lexsort((pos, doc))
-        # equal surroundings of several blocks: the first stands for all
-        first: dict[tuple[bytes, int], int] = {}
+        # equal surroundings of several blocks, by hash under the anchor's hash: the first stands for all
+        around = _hashes(np.frombuffer(data, np.uint8), start[:-1], start[1:]) ^ mix(left.astype(np.uint64)) ^ hashes
+        _, lead, which = np.unique(around[order], return_index=True, return_inverse=True)
         rep = np.empty(len(order), np.int64)
-        for i in order.tolist():
-            rep[i] = first.setdefault((data[start[i] : start[i + 1]], int(left[i])), i)
-        heads = order[rep[order] == order]
+        rep[order] = order[lead][which]
+        heads = np.flatnonzero(rep == np.arange(len(rep)))
         # an anchor with one surrounding has no other string to meet
         _, which, n = np.unique(hashes[heads], return_inverse=True, return_counts=True)
         heads = heads[n[which] > 1]
@@ -159,25 +191,29 @@ def repeats(docs: DataFrame, length: int = MIN_BYTES, keep: tuple[str, ...] = ()
             windows = size[heads].astype(np.int64) - length + 1
             owner = np.repeat(heads, windows)
             inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+            # windows of one of a kind, by their hashes, have no equal: only the others' bytes are looked at
+            kind = _hashes(np.frombuffer(data, np.uint8), start[owner] + inner, start[owner] + inner + length)
+            _, which, n = np.unique(kind, return_inverse=True, return_counts=True)
+            owner, inner, kind = owner[n[which] > 1], inner[n[which] > 1], kind[n[which] > 1]
+            order_of = _lexical_ranks(np.frombuffer(data, np.uint8), start[owner] + inner, kind, length)
             begin = pos[owner] - left[owner] + inner
             by = np.lexsort((begin, doc[owner]))
-            owner, inner, begin = owner[by], inner[by], begin[by]
+            owner, inner, begin, order_of = owner[by], inner[by], begin[by], order_of[by]
             change = np.ones(len(by), bool)
             change[1:] = (doc[owner][1:] != doc[owner][:-1]) | (begin[1:] != begin[:-1])
             rank = np.cumsum(change)
-            raw, family = np.frombuffer(data, np.uint8), SuffixLevels()
+            family = SuffixLevels()
             for a in range(0, len(by), batch):
                 o, i = owner[a : a + batch], inner[a : a + batch]
-                suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, length)[start[o] + i]).view(f"S{length}").ravel()
-                hit = family.add(suffixes, rank[a : a + batch])
+                hit = family.add(order_of[a : a + batch], rank[a : a + batch])
                 np.bitwise_or.at(bits, o[hit], np.uint64(1) << (left[o[hit]] - i[hit]).astype(np.uint64))
         later = (doc != doc[rep]) | (pos != pos[rep])
         bits = np.where(later, np.uint64(2**64 - 1), bits[rep])
         cut = np.cumsum([0, *[len(g["hash"]) for g in got]])
         return [B.dumps(bits=bits[a:b]) for a, b in zip(cut, cut[1:])]
 
-    again = runtime.materialise(B.reduce(B.ask(packed, ask_anchors), find_again), "again")
-    verdicts = runtime.materialise(B.reduce(B.ask(packed, ask_windows, again), compare), "verdicts")
+    again = runtime.materialise(B.reduce(B.ask(packed, ask_anchors), parts, find_again), "again")
+    verdicts = runtime.materialise(B.reduce(B.ask(packed, ask_windows, again), parts, compare), "verdicts")
 
     def apply(table, first, second):
         s = _Scan(table, length, gram)
