@@ -13,16 +13,19 @@ from . import runtime
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, held_out, rows: int, max_bytes: int) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of ``rows`` labelled rows at most, of ``max_bytes`` each at most, that ``held_out`` leaves.
+    """Texts and labels of ``rows`` labelled doc_ids at most, of ``max_bytes`` each at most, that ``held_out`` leaves.
 
-    The rows are those with the least hashes of doc_id, so the sample doesn't depend on partitions. Longer labelled
-    texts aren't cut; they stay out of the sample. doc_ids that are null or bear both labels stay out.
+    The doc_ids are those with the least hashes, so the sample doesn't depend on partitions. They are chosen from
+    the labels alone; the ``rows`` chosen are broadcast to the documents, whose texts aren't shuffled. Longer
+    texts aren't cut; they stay out of the sample, which then is smaller. doc_ids that are null or bear both labels
+    stay out; of rows that share a doc_id one counts.
     """
-    # labels of one doc_id that agree count once
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
-    own = docs.select("doc_id", "text").where(F.col("text").isNotNull() & ~held_out & (F.octet_length("text") <= max_bytes))
-    chosen = own.join(known.select("doc_id", "label"), "doc_id").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id", "text").limit(rows)
-    got = chosen.select("text", "label").toArrow()
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)").where(~held_out)
+    agreed = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("doc_id", "label")
+    chosen = agreed.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(rows)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
+    found = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
+    got = found.orderBy("doc_id").limit(rows).select("text", "label").toArrow()
     return [t.as_py().encode() for t in got.column("text")], got.column("label").to_numpy().astype(np.int64)
 
 
