@@ -11,10 +11,10 @@ from .hashing import mix
 
 #: Labelled rows to learn from, bytes of each, at most.
 TRAIN_ROWS, TRAIN_BYTES = 8_000, 1 << 14
-#: Tokens that the Dirichlet prior of a class is worth.
+#: Tokens that the Dirichlet prior of a class is worth, but for a fiftieth of the sample's at most.
 PRIOR = 2_000.0
-#: Standard deviations that a token's log-odds are drawn towards 0, and what each token costs a passage.
-CAUTION, COST = 4.0, 0.05
+#: Standard deviations that a token must differ by to score (signed root of the likelihood ratio), and what each token costs a passage.
+CAUTION, COST = 4.5, 0.5
 THRESHOLD = 0.7
 _WORD = re.compile(rb"[^\x00-\x26\x28-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -27,28 +27,37 @@ def log_odds(texts: list[bytes], labels: np.ndarray) -> dict[bytes, float]:
     """Token scores: log-odds between toxic and other texts under Dirichlet priors with the mean of the corpus.
 
     A token counts once for each pair of neighbours that it has in the texts of a class, so a passage that
-    many texts copy votes once. What lies within ``CAUTION`` standard deviations of 0 scores nothing,
-    and nothing is stored for it.
+    many texts copy votes once. Tokens whose likelihood ratio is within ``CAUTION`` standard deviations
+    score nothing, and nothing is stored for them.
     """
     known: dict[bytes, int] = {}
-    seen = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
+    seen, held = ([[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]] for _ in range(2))
     for t, y in zip(texts, labels):
         words = tokens(t)
         ids = np.zeros(len(words) + 2, np.uint64)
         ids[1:-1] = [known.setdefault(w, len(known) + 1) for w in words]
         # the token stays whole; its neighbours are mixed into the other bits
         around = mix(ids[:-2] << np.uint64(32) | ids[2:]) & np.uint64(0xFFFFFFFF)
+        held[y].append(np.unique(ids[1:-1]))
         seen[y].append(np.unique(ids[1:-1] << np.uint64(32) | around))
     got = [np.bincount((np.unique(np.concatenate(x)) >> np.uint64(32)).astype(np.int64), minlength=len(known) + 1)[1:].astype(np.float64) for x in seen]
     n = [x.sum() for x in got]
     if not all(n):
         return {}
-    prior = PRIOR * (got[0] + got[1]) / (n[0] + n[1])
+    worth = min(PRIOR, (n[0] + n[1]) / 50)
+    prior = worth * (got[0] + got[1]) / (n[0] + n[1])
     y = [g + prior for g in got]
-    delta = np.log(y[1] / (n[1] + PRIOR - y[1])) - np.log(y[0] / (n[0] + PRIOR - y[0]))
-    spread = CAUTION * np.sqrt(1 / y[1] + 1 / y[0])
+    delta = np.log(y[1] / (n[1] + worth - y[1])) - np.log(y[0] / (n[0] + worth - y[0]))
+
+    def ratio(counts: list[np.ndarray], totals: list[float]) -> np.ndarray:
+        expected = [(counts[0] + counts[1]) * x / sum(totals) for x in totals]
+        return 2 * sum(np.where(g > 0, g * np.log(np.maximum(g, 1) / np.maximum(e, 1e-300)), 0) for g, e in zip(counts, expected))
+
+    # by documents too: a text's frequent words are no independent evidence
+    present = [np.bincount(np.concatenate(x).astype(np.int64), minlength=len(known) + 1)[1:].astype(np.float64) for x in held]
+    sure = np.minimum(ratio(got, n), ratio(present, [float(np.sum(labels == k)) for k in (0, 1)])) > CAUTION**2
     words = list(known)
-    return {words[i]: float(delta[i] - np.copysign(spread[i], delta[i])) for i in np.flatnonzero(np.abs(delta) > spread)}
+    return {words[i]: float(delta[i]) for i in np.flatnonzero(sure)}
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -112,7 +121,8 @@ class Scorer:
     def fit(self, texts: list[bytes], labels: np.ndarray) -> Scorer:
         """Extreme-value parameters from the other texts, then a logistic curve from evidence to probability."""
         other = [[self.odds.get(w, 0.0) - COST for w in tokens(t)] for t, y in zip(texts, labels) if y == 0]
-        flat = np.array([x for v in other for x in v]) if other else np.zeros(0)
+        # one more token with the highest score, as these texts may happen to hold none
+        flat = np.array([*[x for v in other for x in v], max(self.odds.values(), default=0.0) - COST])
         if len(flat) and flat.max() > 0 > flat.mean():
             # the positive root of the mean of exp(rate * score) = 1
             lo, hi = 1e-6, 1.0
