@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -17,6 +18,10 @@ from .hashing import gram_hash, lower, mix, prefix_sums, span_hash, word_hashes,
 SHINGLE = 5
 #: 25 bands of 5 bins: a pair at a similarity of 0.85 shares no band with a probability of 4e-7.
 BANDS, ROWS = 25, 5
+#: Bands are searched in these groups; what one group has linked, the next needn't compare.
+GROUPS = ((0, 2), (2, 8), (8, BANDS))
+#: Equal bins (of 125, by 8 bits each) that a pair needs to be counted out: 6 standard deviations below a similarity of 0.85.
+LEAST_BINS = 81
 SEED = 0x51ED270B7F4A7C15
 _RUN = 1 << 20
 _FREE = np.uint64(2**64 - 1)
@@ -73,7 +78,7 @@ def bands(bins: np.ndarray) -> np.ndarray:
 
 
 def sketches(packed: DataFrame) -> DataFrame:
-    """Per row: node (block and row as one long), doc_id, n (size of its set), sig (128 bits of the set), bands."""
+    """Per row: node (block and row as one long), doc_id, n (size of its set), sig (128 bits of the set), bands, bins (8 bits of each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +86,8 @@ def sketches(packed: DataFrame) -> DataFrame:
                 table = B.unpack(payload.as_py())
                 ids, texts = B.texts(table)
                 sets = shingle_sets(texts)
-                h = np.concatenate([bands(sketch(sets[a:b])) for a, b in B.runs([len(s) for s in sets], _RUN // 4)])
+                bins = np.concatenate([sketch(sets[a:b]) for a, b in B.runs([len(s) for s in sets], _RUN // 4)])
+                h, low = bands(bins), mix(bins).astype(np.uint8)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "node": pa.array((block << 16) + np.arange(len(ids))),
@@ -89,10 +95,11 @@ def sketches(packed: DataFrame) -> DataFrame:
                         "n": pa.array([len(s) for s in sets], pa.int64()),
                         "sig": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         "bands": pa.array([x.tolist() if len(s) else None for x, s in zip(h, sets)], pa.list_(pa.int64())),
+                        "bins": pa.array([x.tobytes() if len(s) else None for x, s in zip(low, sets)], pa.binary()),
                     }
                 )
 
-    return packed.select("block", "payload").mapInArrow(run, "node long, doc_id long, n long, sig binary, bands array<bigint>")
+    return packed.select("block", "payload").mapInArrow(run, "node long, doc_id long, n long, sig binary, bands array<bigint>, bins binary")
 
 
 def _sets(packed: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -109,6 +116,19 @@ def _sets(packed: DataFrame, nodes: DataFrame) -> DataFrame:
     return packed.select("block", "payload").join(wanted, "block").mapInArrow(run, "node long, items binary")
 
 
+def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) whose sketches have enough equal bins."""
+    bins = nodes.select("node", "bins")
+    both = pairs.join(bins.select(F.col("node").alias("a"), F.col("bins").alias("x")), "a").join(bins.select(F.col("node").alias("b"), F.col("bins").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("x", "y"))
+            yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_BINS))
+
+    return both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long, n_a long, n_b long")
+
+
 def _verify(packed: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b) with the size of their sets' intersection, counted on the full sets."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -148,6 +168,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "component")
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs whose nodes are not yet in one component."""
+    label = found.select("node", "component")
+    both = pairs.join(label.select(F.col("node").alias("a"), F.col("component").alias("c_a")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("component").alias("c_b")), "b", "left")
+    return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -157,46 +184,60 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     doc_id is the smallest and gives a null component_id. kept: doc_id = component_id; of rows that repeat a
     doc_id all are kept, or none.
 
-    Candidates share a band of their sketches, and every link is confirmed on the full sets. In a bucket all
-    members are compared with its least node (a row each, not all pairs). Members that this leaves outside
-    the least node's component are compared with the other members that they could link: sizes must
-    fit, and by the triangle inequality their distances from the least node must differ by no more than a
-    link's. So a bucket of thousands of copies costs its size, and no link between components is lost.
+    Candidates share a band of their sketches; of those whose sketches agree enough, every link is confirmed on the
+    full sets. Bands are searched in groups. In a bucket, members whose component isn't yet that of the bucket's least
+    node are compared with that node: a row each, not all pairs. In the end, members that are still outside their least
+    node's component are compared with the other members of other components, sketch by sketch in arrays, and the
+    alike are confirmed. So a bucket of thousands of copies costs its size, and no link between components is lost.
     """
     packed = B.pack(docs)
     rows = runtime.materialise(sketches(packed), "sketches")
-    nodes = runtime.materialise(rows.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "node", "n", "bands")).alias("x")).select("sig", "x.*"), "nodes")
-    members = nodes.select("node", "n", F.posexplode("bands").alias("band", "h"))
-    buckets = members.groupBy("band", "h").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("hub")).where("size > 1")
+    nodes = runtime.materialise(rows.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "node", "n", "bands", "bins")).alias("x")).select("sig", "x.*"), "nodes")
     close = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    spokes = runtime.materialise(members.join(buckets, ["band", "h"]).select("band", "h", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "size"), "spokes")
-    pairs = spokes.where("node <> hub").where(close(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b")).distinct()
-    first = _verify(packed, pairs)
     is_link = F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent
-    links = first.where(is_link).select("a", "b")
-    found = components(links)
+    links, found, spokes = None, None, None
+    for low, high in GROUPS:
+        # one long stands for band and hash
+        each = F.transform(F.slice("bands", low + 1, high - low), lambda h, i: F.xxhash64(i + low, h))
+        members = nodes.select("node", "n", F.explode(each).alias("bucket"))
+        buckets = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
+        own = runtime.materialise(members.join(buckets, "bucket").select("bucket", "node", "n", "hub"), "spokes")
+        spokes = own if spokes is None else spokes.unionByName(own)
+        pairs = own.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).distinct()
+        if found is not None:
+            pairs = _apart(pairs, found)
+        pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").where(close(F.col("n_a"), F.col("n_b")))
+        pairs = runtime.materialise(_alike(pairs, nodes), "pairs")
+        new = _verify(packed, pairs).where(is_link).select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        found = runtime.materialise(components(links), "components")
 
     # what the least nodes' links left apart
     label = found.select("node", "component")
-    here = spokes.where("size > 2").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    here = spokes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     here = here.join(label.select(F.col("node").alias("hub"), F.col("component").alias("c")), "hub", "left").withColumn("apart", F.col("component") != F.coalesce("c", "hub"))
-    distance = first.select(F.col("a").alias("hub"), F.col("b").alias("node"), (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("d"))
-    here = here.where("node <> hub").join(distance, ["hub", "node"], "left").select("band", "h", "node", "n", "component", "apart", "d")
-    here = runtime.materialise(here, "members")
-    left = here.where("apart").select("band", "h", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("d").alias("d_a"))
-    right = here.select("band", "h", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("d").alias("d_b"), "apart")
-    reach = F.abs(F.col("d_a") - F.col("d_b")) <= (100 - percent) / 100 + 1e-9
-    rest = (
-        left.join(right, ["band", "h"])
-        .where((F.col("c_a") != F.col("c_b")) & close(F.col("n_a"), F.col("n_b")) & F.coalesce(reach, F.lit(True)) & (~F.col("apart") | (F.col("a") < F.col("b"))))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
-        .distinct()
-    )
-    rest = runtime.materialise(rest, "rest")
+    here = runtime.materialise(here.where("node <> hub").select("bucket", "node", "n", "component", "apart"), "members")
+    open_ = here.where("apart").select("bucket").distinct()
+    left_over = here.join(open_, "bucket").join(nodes.select("node", "bins"), "node")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        node, n, c, apart = (pdf[x].to_numpy() for x in ("node", "n", "component", "apart"))
+        bins = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), -1)
+        out = []
+        for i in np.flatnonzero(apart):
+            # of two that are apart the lesser looks for the other
+            fit = (c != c[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent) & (~apart | (node > node[i]))
+            j = np.flatnonzero(fit)
+            j = j[(bins[j] == bins[i]).sum(axis=1) >= LEAST_BINS]
+            out.append(pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "n_a": np.where(node[j] > node[i], n[i], n[j]), "n_b": np.where(node[j] > node[i], n[j], n[i])}))
+        return pd.concat(out) if out else pd.DataFrame({x: np.zeros(0, np.int64) for x in ("a", "b", "n_a", "n_b")})
+
+    rest = runtime.materialise(left_over.select("bucket", "node", "n", "component", "apart", "bins").groupBy("bucket").applyInPandas(compare, "a long, b long, n_a long, n_b long").distinct(), "rest")
     if rest.limit(1).count():
         more = _verify(packed, rest).where(is_link).select("a", "b")
         if more.limit(1).count():
-            found = components(links.union(more))
+            found = components(links.unionByName(more))
     named = nodes.join(found, "node", "left").select("sig", "doc_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = named.join(least, "component").select("sig", "component_id")
