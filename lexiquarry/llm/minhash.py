@@ -188,7 +188,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     full sets. Bands are searched in groups. In a bucket, members whose component isn't yet that of the bucket's least
     node are compared with that node: a row each, not all pairs. In the end, members that are still outside their least
     node's component are compared with the other members of other components, sketch by sketch in arrays, and the
-    alike are confirmed. So a bucket of thousands of copies costs its size, and no link between components is lost.
+    alike are confirmed. So a bucket of thousands of linked copies costs its size; texts of a family that are alike but below
+    the threshold are compared with each other, which grows with the square of the family, and no link is lost.
     """
     packed = B.pack(docs)
     rows = runtime.materialise(sketches(packed), "sketches")
