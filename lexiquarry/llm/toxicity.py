@@ -110,13 +110,10 @@ class Scorer:
         v = self.values(text)
         if not v:
             return 0.0
-        best = sorted((s for _, _, s in segments(v)), reverse=True)
-        least = total = 0.0
-        for k, s in enumerate(best[:64], 1):
-            e = np.log10(self.scale * len(v)) - self.rate * s / np.log(10)
-            total += e - np.log10(k)
-            least = min(least, total)
-        return float(-least)
+        best = np.sort([s for _, _, s in segments(v)])[::-1]
+        # log10 of E1 * ... * Ek / k! for every k, of all passages
+        totals = np.cumsum(np.log10(self.scale * len(v)) - self.rate * best / np.log(10) - np.log10(np.arange(1, len(best) + 1)))
+        return float(max(0.0, -totals.min()))
 
     def fit(self, texts: list[bytes], labels: np.ndarray) -> Scorer:
         """Extreme-value parameters from the other texts, then a logistic curve from evidence to probability."""

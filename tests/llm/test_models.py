@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import os
 import re
 import tarfile
@@ -287,3 +288,13 @@ def test_language_model_of_an_empty_table(spark):
     assert pitman_yor.score(frame(spark, [(1, "x")]).where("false"), labelled.held_out_rule(7, 2)).collect() == []
     got = pitman_yor.score(frame(spark, [(1, "x y")]), F.lit(True)).first()
     assert (got.n_tokens, got.n_known, got.train_tokens) == (3, 0, 0) and got.base_score == 0 and got.score == pytest.approx(0, abs=1e-6)
+
+
+def test_evidence_takes_all_passages_of_a_long_text():
+    scorer = toxicity.Scorer({b"bad": 1.5})
+    text = b"bad x y z " * 120
+    # 120 passages of score 1 where 30 are expected
+    scorer.rate, scorer.scale = 1.0, 30 * math.e / 480
+    assert [s for _, _, s in toxicity.segments(scorer.values(text))] == [1.0] * 120
+    want = math.lgamma(121) / math.log(10) - 120 * math.log10(30)
+    assert abs(scorer.evidence(text) - want) < 1e-6 and want > 21
