@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lexiquarry.llm import decontaminate, minhash, pieces, quality, runtime, suffixes
 
+#: Least similarity, in percent, of near copies.
+NEAR_PERCENT = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -19,7 +21,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the least doc_id."""
-    kept = minhash.near_duplicates(docs, 85).where(F.col("kept") | F.col("component_id").isNull()).select("doc_id").distinct()
+    kept = minhash.near_duplicates(docs, NEAR_PERCENT).where(F.col("kept") | F.col("component_id").isNull()).select("doc_id").distinct()
     named = kept.withColumnRenamed("doc_id", "kept_id")
     return docs.join(named, docs["doc_id"].eqNullSafe(named["kept_id"]), "left_semi").select(*COLUMNS)
 

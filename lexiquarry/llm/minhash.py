@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -16,17 +19,54 @@ from . import runtime
 from .hashing import gram_hash, lower, mix, prefix_sums, span_hash, word_hashes, words_of
 
 SHINGLE = 5
-#: 25 bands of 5 bins: a pair at a similarity of 0.85 shares no band with a probability of 4e-7.
-BANDS, ROWS = 25, 5
-#: Bands are searched in these groups; what one group has linked, the next needn't compare.
-GROUPS = ((0, 2), (2, 8), (8, BANDS))
-#: Equal bins (of 125, by 8 bits each) that a pair needs to be counted out: 6 standard deviations below a similarity of 0.85.
-LEAST_BINS = 81
+#: A pair at the threshold shares no band with this probability at most, and has too few equal bins with this one.
+NO_BAND, FEW_BINS = 4.3e-7, 1e-8
+#: Bins of a band, and of a sketch, at most (but for thresholds so low that bands of one bin need more).
+ROWS, BINS = 5, 190
+#: Bands are searched in groups that begin with these; what one group has linked, the next needn't compare.
+GROUPS = (0, 2, 8)
 SEED = 0x51ED270B7F4A7C15
 _RUN = 1 << 20
 _FREE = np.uint64(2**64 - 1)
 
 
+class Sketch(NamedTuple):
+    """Shape of the sketches for one threshold: bands of so many rows (bins), and the equal bins (by 8 bits each) that a pair needs."""
+
+    bands: int
+    rows: int
+    least: int
+
+    @property
+    def bins(self) -> int:
+        return self.bands * self.rows
+
+    @property
+    def groups(self) -> list[tuple[int, int]]:
+        """First band, and the one after the last, of each group."""
+        cuts = [g for g in GROUPS if g < self.bands] + [self.bands]
+        return list(zip(cuts, cuts[1:]))
+
+
+@functools.cache
+def shape(percent: int) -> Sketch:
+    """The sketch that loses a pair at a similarity of ``percent`` with ``NO_BAND`` and ``FEW_BINS`` at most; 25 bands of 5 at 85.
+
+    Bands are as selective (of as many bins) as a sketch of ``BINS`` allows.
+    """
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be over 0 and at most 100")
+    s = percent / 100
+    needed = {r: 1 if s == 1 else math.ceil(math.log(NO_BAND) / math.log1p(-(s**r))) for r in range(ROWS, 0, -1)}
+    rows = next((r for r, b in needed.items() if r * b <= BINS), 1)
+    t = rows * needed[rows]
+    least, below = 0, 0.0
+    # the binomial law's lower tail
+    while least < t and (below := below + math.comb(t, least) * s**least * (1 - s) ** (t - least)) <= FEW_BINS:
+        least += 1
+    return Sketch(needed[rows], rows, least)
+
+
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """Distinct hashes, sorted, of each text's 5-word shingles, A-Z lower-cased; all words as one where they are fewer."""
     out: list[np.ndarray] = []
@@ -45,7 +85,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def sketch(sets: list[np.ndarray], t: int = BANDS * ROWS) -> np.ndarray:
+def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
     """t bins for each set, all filled (but for an empty set's).
 
     Round i throws every element into a bin that its hash chooses, with a value that starts with i, and
@@ -70,14 +110,14 @@ def sketch(sets: list[np.ndarray], t: int = BANDS * ROWS) -> np.ndarray:
     return bins
 
 
-def bands(bins: np.ndarray) -> np.ndarray:
-    h = np.zeros((len(bins), BANDS), np.uint64)
-    for r in range(ROWS):
-        h = mix(h * np.uint64(0x100000001B3) + bins[:, r::ROWS][:, :BANDS])
+def bands(bins: np.ndarray, rows: int) -> np.ndarray:
+    h = np.zeros((len(bins), bins.shape[1] // rows), np.uint64)
+    for r in range(rows):
+        h = mix(h * np.uint64(0x100000001B3) + bins[:, r::rows])
     return h.view(np.int64)
 
 
-def sketches(packed: DataFrame) -> DataFrame:
+def sketches(packed: DataFrame, form: Sketch) -> DataFrame:
     """Per row: node (block and row as one long), doc_id, n (size of its set), sig (128 bits of the set), bands, bins (8 bits of each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +126,8 @@ def sketches(packed: DataFrame) -> DataFrame:
                 table = B.unpack(payload.as_py())
                 ids, texts = B.texts(table)
                 sets = shingle_sets(texts)
-                bins = np.concatenate([sketch(sets[a:b]) for a, b in B.runs([len(s) for s in sets], _RUN // 4)])
-                h, low = bands(bins), mix(bins).astype(np.uint8)
+                bins = np.concatenate([sketch(sets[a:b], form.bins) for a, b in B.runs([len(s) for s in sets], _RUN // 4)])
+                h, low = bands(bins, form.rows), mix(bins).astype(np.uint8)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "node": pa.array((block << 16) + np.arange(len(ids))),
@@ -116,15 +156,15 @@ def _sets(packed: DataFrame, nodes: DataFrame) -> DataFrame:
     return packed.select("block", "payload").join(wanted, "block").mapInArrow(run, "node long, items binary")
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, nodes: DataFrame, form: Sketch) -> DataFrame:
     """Pairs (a, b, n_a, n_b) whose sketches have enough equal bins."""
     bins = nodes.select("node", "bins")
     both = pairs.join(bins.select(F.col("node").alias("a"), F.col("bins").alias("x")), "a").join(bins.select(F.col("node").alias("b"), F.col("bins").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("x", "y"))
-            yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_BINS))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, form.bins) for c in ("x", "y"))
+            yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array((x == y).sum(axis=1) >= form.least))
 
     return both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long, n_a long, n_b long")
 
@@ -189,15 +229,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     node are compared with that node: a row each, not all pairs. In the end, members that are still outside their least
     node's component are compared with the other members of other components, sketch by sketch in arrays, and the
     alike are confirmed. So a bucket of thousands of linked copies costs its size; texts of a family that are alike but below
-    the threshold are compared with each other, which grows with the square of the family, and no link is lost.
+    the threshold are compared with each other, which grows with the square of the family. The sketches' ``shape`` follows ``percent``, so a link is lost with a
+    probability of about 4e-7 at most, whatever the threshold.
     """
+    form = shape(percent)
     packed = B.pack(docs)
-    rows = runtime.materialise(sketches(packed), "sketches")
+    rows = runtime.materialise(sketches(packed, form), "sketches")
     nodes = runtime.materialise(rows.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "node", "n", "bands", "bins")).alias("x")).select("sig", "x.*"), "nodes")
     close = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     is_link = F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent
     links, found, spokes = None, None, None
-    for low, high in GROUPS:
+    for low, high in form.groups:
         # one long stands for band and hash
         each = F.transform(F.slice("bands", low + 1, high - low), lambda h, i: F.xxhash64(i + low, h))
         members = nodes.select("node", "n", F.explode(each).alias("bucket"))
@@ -208,7 +250,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         if found is not None:
             pairs = _apart(pairs, found)
         pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").where(close(F.col("n_a"), F.col("n_b")))
-        pairs = runtime.materialise(_alike(pairs, nodes), "pairs")
+        pairs = runtime.materialise(_alike(pairs, nodes, form), "pairs")
         new = _verify(packed, pairs).where(is_link).select("a", "b")
         links = new if links is None else links.unionByName(new)
         found = runtime.materialise(components(links), "components")
@@ -230,7 +272,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             # of two that are apart the lesser looks for the other
             fit = (c != c[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent) & (~apart | (node > node[i]))
             j = np.flatnonzero(fit)
-            j = j[(bins[j] == bins[i]).sum(axis=1) >= LEAST_BINS]
+            j = j[(bins[j] == bins[i]).sum(axis=1) >= form.least]
             out.append(pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "n_a": np.where(node[j] > node[i], n[i], n[j]), "n_b": np.where(node[j] > node[i], n[j], n[i])}))
         return pd.concat(out) if out else pd.DataFrame({x: np.zeros(0, np.int64) for x in ("a", "b", "n_a", "n_b")})
 

@@ -1,5 +1,6 @@
 """Operators 2, 5, 7 and 10 against brute force."""
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -185,3 +186,29 @@ def test_empty_tables(spark, operator):
     assert operator(frame(spark, [(1, "x")]).where("false")).collect() == []
 
 
+
+
+def near_pairs(n, changed):
+    """n pairs of 200 words, the last ``changed`` of which differ: a similarity of (196 - changed) / (196 + changed)."""
+    rows = []
+    for i in range(n):
+        same = [f"p{i}w{j}" for j in range(200)]
+        rows += [(2 * i, " ".join(same)), (2 * i + 1, " ".join(same[: 200 - changed] + [f"p{i}v{j}" for j in range(changed)]))]
+    return rows
+
+
+@pytest.mark.parametrize(("percent", "changed"), [(80, 21), (80, 22), (65, 41), (65, 42)])
+def test_near_duplicates_at_lower_thresholds_equal_brute_force(spark, percent, changed):
+    rows = near_pairs(60, changed)
+    got = minhash.near_duplicates(frame(spark, rows), percent).collect()
+    want = brute_components(rows, percent)
+    assert Counter(tuple(r) for r in got) == want
+    assert sum(n for (*_, kept), n in want.items() if kept) == (60 if 100 * (196 - changed) >= percent * (196 + changed) else 120)
+
+
+@pytest.mark.parametrize("percent", [30, 50, 65, 80, 85, 90, 99, 100])
+def test_sketches_lose_no_pair_at_any_threshold(percent):
+    form, s = minhash.shape(percent), percent / 100
+    assert (1 - s**form.rows) ** form.bands <= minhash.NO_BAND
+    assert sum(math.comb(form.bins, k) * s**k * (1 - s) ** (form.bins - k) for k in range(form.least)) <= minhash.FEW_BINS
+    assert [b for low, high in form.groups for b in range(low, high)] == list(range(form.bands))

@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from lexiquarry.llm import pieces, runtime
 
-from .test_dedup import brute_bytes, brute_components
+from .test_dedup import brute_bytes, brute_components, near_pairs
 from .test_models import brute_contamination
 
 pytestmark = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary file")
@@ -66,3 +66,11 @@ def test_run_on_empty_tables(spark, tables, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         runtime.read(spark, tables, t).where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_dedup_stage_takes_a_similarity_of_four_fifths(spark, tmp_path):
+    rows = [(i, t, "en", "s", len(t)) for i, t in near_pairs(10, 19) + [(i + 100, t.replace("p", "q")) for i, t in near_pairs(10, 22)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.minhash_near_dedup(spark, docs, str(tmp_path))
+    # 177 of 215 shingles are shared by the first pairs, 174 of 218 by the others
+    assert sorted(r.doc_id for r in got.collect()) == [2 * i for i in range(10)] + list(range(100, 120))
