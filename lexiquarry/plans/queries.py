@@ -574,13 +574,13 @@ def u4_parse_papers(spark, sf):
 
 @query()
 def u9_match_lists(spark, sf):
-    d = files.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Match List I with List II. List I List II (A) "), F.substring("text", 1, 40), F.lit(" (I) x (B) y (II) z Choose the answer")).alias("question"))
+    d = files.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Match List I with List II. List I List II (A) "), F.col("text"), F.lit(" (I) x (B) y (II) z Choose the answer")).alias("question"))
     return parse.split_lists(d).select("doc_id", "lists.preamble", F.array_join("lists.items_1", "|").alias("items_1"), F.array_join("lists.items_2", "|").alias("items_2"), "lists.trailer")
 
 
 @query()
 def u10_statements(spark, sf):
-    d = files.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Given: Assertion (A): "), F.substring("text", 1, 40), F.lit(" Reason (R): so. Choose one")).alias("question"))
+    d = files.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Given: Assertion (A): "), F.col("text"), F.lit(" Reason (R): so. Choose one")).alias("question"))
     return parse.split_statements(d).select("doc_id", "statements.intro", F.array_join("statements.parts", "|").alias("parts"), "statements.trailer")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiquarry.functions import scoring, text
 from lexiquarry.operators import chunk, external, latest, layout, lookup, merge, near_duplicates, parse, profile, repair, sample, search, vector
+from lexiquarry.plans import queries
 from lexiquarry.sources import files, sinks
 from lexiquarry.streaming import limits
 
@@ -310,3 +311,16 @@ def test_external_hook(spark):
     df = spark.createDataFrame([(1, 1, "good text " * 9), (1, 2, ".")], "doc int, page int, text string")
     got = external.extract_pages(df, external.stub_embedding(2), "embedding array<double>").collect()
     assert [(r.page, r.failed) for r in got] == [(1, False), (2, True)]
+
+
+def test_list_and_statement_queries_parse_whole_texts(spark, tmp_path):
+    tail = "words " * 20
+    rows = [(1, tail + "(III) late (C) more"), (2, tail + "Statement II: behind. Choose none"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lists = {r.doc_id: (r.items_1, r.items_2, r.trailer) for r in queries.u9_match_lists(spark, str(tmp_path)).collect()}
+    assert lists[1] == (f"(A) {tail.strip()}|(C) more|(B) y", "(III) late|(I) x|(II) z", "Choose the answer")
+    assert lists[2] == (None, None, None) and lists[3] == (None, None, None)
+    parts = {r.doc_id: (r.parts, r.trailer) for r in queries.u10_statements(spark, str(tmp_path)).collect()}
+    assert parts[1] == (f"Assertion (A): {rows[0][1]}|Reason (R): so.", "Choose one")
+    assert parts[2] == (f"Assertion (A): {tail.strip()}|Statement II: behind. Choose none|Reason (R): so.", "Choose one")
+    assert parts[3] == (None, "") or parts[3] == (None, None)
