@@ -476,6 +476,17 @@ def k13_read_through_cache(spark, sf):
     return own.select("conv_id", "turn", key(F.col("text")).alias("question_hash"), "answer")
 
 
+@query("""WITH c AS (SELECT conv_id, turn, role, sha256('en:' || lower(trim(text))) AS question_hash FROM conversations),
+cache AS (SELECT question_hash, max(turn) AS answer FROM c WHERE role = 'user' GROUP BY 1)
+SELECT conv_id, turn, question_hash, answer FROM c LEFT JOIN cache USING (question_hash)""")
+def k13_answer_lookup(spark, sf):
+    c = files.table(spark, sf, "conversations")
+    key = lambda t: merge.answer_key(F.lit("en"), t)
+    cache = c.where("role = 'user'").groupBy(key(F.col("text")).alias("question_hash")).agg(F.max("turn").alias("answer"))
+    hits, _ = merge.cached(c.select("conv_id", "turn", "text"), cache, "text", "answer", key)
+    return hits.select("conv_id", "turn", "question_hash", "answer")
+
+
 @query(f"""WITH {RESULTS}, {_USAGE}, moves AS (SELECT s_suppkey AS guest, s_suppkey + 1000 AS "user" FROM supplier),
 a AS (SELECT user_id AS key, usage_date, CASE WHEN guest IS NULL THEN tokens_used ELSE 0 END AS tokens_used FROM usage LEFT JOIN moves ON user_id = guest
 UNION ALL SELECT "user", usage_date, tokens_used FROM usage JOIN moves ON user_id = guest) SELECT key, usage_date, sum(tokens_used)::BIGINT AS tokens_used FROM a GROUP BY 1, 2""")

@@ -324,3 +324,10 @@ def test_list_and_statement_queries_parse_whole_texts(spark, tmp_path):
     assert parts[1] == (f"Assertion (A): {rows[0][1]}|Reason (R): so.", "Choose one")
     assert parts[2] == (f"Assertion (A): {tail.strip()}|Statement II: behind. Choose none|Reason (R): so.", "Choose one")
     assert parts[3] == (None, "") or parts[3] == (None, None)
+
+
+def test_answer_lookup_finds_questions_of_other_conversations(spark, tmp_path):
+    rows = [(1, 0, "user", "What is X?"), (1, 1, "assistant", "It is Y."), (2, 4, "user", " what is x? "), (2, 5, "assistant", "What is X?"), (3, 0, "user", "other"), (3, 1, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.k13_answer_lookup(spark, str(tmp_path)).collect()
+    assert {(r.conv_id, r.turn): r.answer for r in got} == {(1, 0): 4, (1, 1): None, (2, 4): 4, (2, 5): 4, (3, 0): 0, (3, 1): None} and len(got) == len(rows)
