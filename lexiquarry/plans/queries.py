@@ -242,6 +242,27 @@ def j4_participants(spark, sf):
     return near_duplicates.participants(d, _near(spark, sf))
 
 
+# The same at the operator's and the reference's own threshold.
+_PAIRS_HALF, _FOUND_HALF = _PAIRS.replace("0.8", "0.5"), _PAIRS_FOUND.replace("0.8", "0.5")
+
+
+@query(f"{_PAIRS_HALF} {_FOUND_HALF}")
+def j3_near_duplicates_at_half(spark, sf):
+    return near_duplicates.ranked(_near(spark, sf, 0.5))
+
+
+@query(f"{_PAIRS_HALF} SELECT * FROM ({_FOUND_HALF}) WHERE NOT EXISTS (SELECT 1 FROM customer WHERE id_a = c_custkey AND id_b = c_custkey + 1)")
+def j2_dismissed_pairs_at_half(spark, sf):
+    c = files.table(spark, sf, "customer").select((F.col("c_custkey") + 1).alias("id_a"), F.col("c_custkey").alias("id_b"))
+    return _near(spark, sf, 0.5, dismissed=c)
+
+
+@query(f"{_PAIRS_HALF}, f AS ({_FOUND_HALF}) SELECT doc_id AS id, lang AS subject FROM documents WHERE doc_id IN (SELECT id_a FROM f UNION SELECT id_b FROM f)")
+def j4_participants_at_half(spark, sf):
+    d = files.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("subject"))
+    return near_duplicates.participants(d, _near(spark, sf, 0.5))
+
+
 def _hit_sql(words) -> str:
     return "(" + " + ".join(f"contains(low, '{w.lower()}')::INTEGER" for w in words) + ")"
 

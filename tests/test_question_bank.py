@@ -331,3 +331,25 @@ def test_answer_lookup_finds_questions_of_other_conversations(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = queries.k13_answer_lookup(spark, str(tmp_path)).collect()
     assert {(r.conv_id, r.turn): r.answer for r in got} == {(1, 0): 4, (1, 1): None, (2, 4): 4, (2, 5): 4, (3, 0): 0, (3, 1): None} and len(got) == len(rows)
+
+
+def test_near_duplicate_queries_at_half_equal_brute_force(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, "g" if i % 3 else "h", " ".join(f"t{rng.randrange(14)}" for _ in range(rng.randrange(1, 12)))) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i,) for i in range(0, 90, 2)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    want = {}
+    for i, g, a in rows:
+        for j, h, b in rows:
+            x, y = set(a.split()), set(b.split())
+            if i < j and g == h and 2 * len(x & y) >= len(x | y):
+                want[i, j] = len(x & y) / len(x | y)
+    assert any(v < 0.8 for v in want.values())
+    got = queries.j3_near_duplicates_at_half(spark, str(tmp_path)).collect()
+    assert {(r.id_a, r.id_b): r.overlap for r in got} == {k: pytest.approx(v, abs=6e-4) for k, v in want.items()} and len(got) == len(want)
+    left = {(r.id_a, r.id_b) for r in queries.j2_dismissed_pairs_at_half(spark, str(tmp_path)).collect()}
+    assert left == {(i, j) for i, j in want if i % 2 or j != i + 1}
+    ends = [r.id for r in queries.j4_participants_at_half(spark, str(tmp_path)).collect()]
+    assert sorted(ends) == sorted({x for k in want for x in k})
