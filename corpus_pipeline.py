@@ -20,10 +20,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least doc_id."""
-    kept = minhash.near_duplicates(docs, NEAR_PERCENT).where(F.col("kept") | F.col("component_id").isNull()).select("doc_id").distinct()
-    named = kept.withColumnRenamed("doc_id", "kept_id")
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["kept_id"]), "left_semi").select(*COLUMNS)
+    """One document of each group of near copies stays: the one with the least doc_id, a null one before all others."""
+    # rows without an id get ids below all others, each its own, so that a group keeps one of them
+    nameless = runtime.materialise(docs.where("doc_id IS NULL").withColumn("key", F.monotonically_increasing_id()), "nameless")
+    least = docs.agg(F.min("doc_id")).first()[0] or 0
+    keyed = docs.where("doc_id IS NOT NULL").withColumn("key", F.col("doc_id")).unionByName(nameless.withColumn("key", F.lit(least) - 1 - F.col("key")))
+    kept = minhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(kept, "key", "left_semi").select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,3 +74,11 @@ def test_near_dedup_stage_takes_a_similarity_of_four_fifths(spark, tmp_path):
     got = corpus_pipeline.minhash_near_dedup(spark, docs, str(tmp_path))
     # 177 of 215 shingles are shared by the first pairs, 174 of 218 by the others
     assert sorted(r.doc_id for r in got.collect()) == [2 * i for i in range(10)] + list(range(100, 120))
+
+
+def test_near_dedup_stage_keeps_one_of_a_group_with_null_ids(spark, tmp_path):
+    (_, a), (_, b), (_, c), (_, d), (_, e), _ = near_pairs(3, 10)
+    rows = [(1, a, "en"), (2, b, "en"), (None, a, "en"), (None, b, "de"), (None, c, "fr"), (None, d, "fr"), (None, e, "es"), (-5, "x y", "en"), (None, "", "it"), (None, None, "it")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, (r.text or "")[:2]) for r in corpus_pipeline.minhash_near_dedup(spark, docs.repartition(3), str(tmp_path)).collect())
+    assert got == {(None, "p0"): 1, (None, "p1"): 1, (None, "p2"): 1, (-5, "x "): 1, (None, ""): 2}
