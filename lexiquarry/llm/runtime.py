@@ -64,6 +64,8 @@ def ready(spark: SparkSession) -> None:
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if root not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    # threads of the Tokenizers library: the cores of a task's neighbours are taken
+    env.setdefault("RAYON_NUM_THREADS", "2")
     # one arena, and large arrays go back to the system as soon as they are freed
     env |= {"OMP_NUM_THREADS": "1", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 

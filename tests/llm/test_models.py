@@ -227,10 +227,12 @@ def test_unigram_model_is_parsed_and_rebuilt():
     c = pieces.Codec(data)
     assert c.model.kind == pieces.UNIGRAM and c.model.byte_fallback and not c.model.remove_extra_whitespaces
     c.parity(data, ["ab c", "a b", "abc abé", ""])
-    assert c.decode(c.encode(["ab é  c"])[0]) == "ab é  c"
+    assert c.decode(*c.encode(["ab é  c", "", " b "])) == [x.encode() for x in ("ab é  c", "", " b ")]
     with pytest.raises(ValueError):
-        c.cache["▁ab"] = np.array([5], np.int32)
+        c.cache["▁ab"] = c.cache["▁c"]
         c.parity(data, ["ab"])
+    with pytest.raises(ValueError):
+        pieces.parse(data + piece("x", 0, 4))
 
 
 # --- language model -----------------------------------------------------------------------------
