@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -16,17 +19,22 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests,
-    local mode) a folder of our own stands in for it.
+    It is what the cluster names in ``spark.checkpoint.dir``. Only in local mode, where driver and executors are one
+    process, may that be unset: then a temporary folder, which goes when the process ends, stands in for it. Elsewhere a
+    ValueError is raised.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
         full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
         return re.sub("^file:/+", "file:///", full).rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lexiquarry-")
+        own = tempfile.mkdtemp(prefix="lexiquarry-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN[app] = f"file://{own}"
     return _OWN[app]
 
 
@@ -41,12 +49,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexiquarry_path = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs that have ended: it does so once the driver's collector has found them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables of ``materialise`` that no later plan reads."""
     for df in frames:
