@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks as B
+from . import recurrence as R
 from . import runtime
-from .hashing import anchors, prefix_sums, span_hash, word_hashes, words_of
+from .hashing import anchors, words_of, word_hashes
 
 WINDOW = 50
 #: Words of a phrase that an automaton looks for; each window of WINDOW words selects one.
@@ -16,84 +19,60 @@ PHRASE = 8
 _RUN = 1 << 20
 
 
-class _Scan:
-    """Words of one block and the phrases that its windows select."""
+class _Words:
+    """Words of one block, and the phrases that its windows select."""
 
-    def __init__(self, table: pa.Table, window: int, phrase: int) -> None:
+    def __init__(self, table: pa.Table, window: int, phrase: int, select: bool = True) -> None:
         self.ids, self.texts = B.texts(table)
-        self.window = window
-        self.spans, hashes = [], []
+        hashes, sizes = [np.zeros(0, np.uint64)], []
         for a, b in B.runs([len(t) + 1 for t in self.texts], _RUN):
             buf = np.frombuffer(b"\n".join(self.texts[a:b]), np.uint8)
             starts, ends = words_of(buf)
-            begin = np.cumsum([0, *[len(t) + 1 for t in self.texts[a:b]]])
-            cut = np.searchsorted(starts, begin)
+            cut = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in self.texts[a:b]]]))
             hashes.append(word_hashes(buf, starts, ends))
-            self.spans += [(starts[x:y] - o, ends[x:y] - o) for x, y, o in zip(cut, cut[1:], begin)]
-        self.words = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        sizes = np.array([len(s) for s, _ in self.spans], np.int64)
-        self.offset = np.concatenate(([0], np.cumsum(sizes)))
-        self.hash, self.at, self.lo, self.hi = anchors(self.words, self.offset, window, phrase)
-        self.doc = np.searchsorted(self.offset, self.at, "right") - 1
-        self.keys, self.which = np.unique(self.hash, return_inverse=True)
-
-    def located(self, parts: int, answers: dict[int, bytes], phrase: int) -> None:
-        """Compile the block's confirmed phrases and stream its documents through the automaton.
-
-        Keeps the windows whose phrase was found where they selected it, sorted by doc_id.
-        """
+            sizes.extend(np.diff(cut).tolist())
+        self.words = np.concatenate(hashes)
+        self.offset = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        if select:
+            self.found = anchors(self.words, self.offset, window, phrase)
+            self.doc = self.ids[np.searchsorted(self.offset, self.found[2], "right") - 1]
+
+
+class Automaton:
+    """Aho-Corasick automaton of phrases, as sequences of word hashes.
+
+    Words of the phrases get numbers, all others share the number 0; a number is written in digits of 64 symbols, with symbols of
+    its own for each place, so nodes have few children and matches begin at words.
+    """
+
+    def __init__(self, phrases: np.ndarray) -> None:
         import ahocorasick
 
-        again = np.zeros(len(self.keys), bool)
-        for p, a, b in B.cuts(self.keys, parts):
-            again[a:b] = np.unpackbits(B.loads(answers[p])["again"], count=b - a)
-        rec = np.flatnonzero(again[self.which])
-        hit = np.zeros(len(self.words) + 1, bool)
-        if len(rec):
-            # words of confirmed phrases get numbers, all others share the number 0; a number is written in digits of
-            # 64 symbols, with symbols of its own for each place, so nodes have few children and matches begin at words
-            inside = np.unique(np.concatenate([self.words[self.at[rec] + i] for i in range(phrase)]))
-            places = max(1, -(-len(inside).bit_length() // 6))
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
-
-            def spelled(words: np.ndarray) -> str:
-                at = np.minimum(np.searchsorted(inside, words), len(inside) - 1)
-                numbers = np.where(inside[at] == words, at + 1, 0)
-                return np.stack([(numbers >> 6 * k & 63) + 64 * k for k in range(places)], axis=1).astype("<u4").tobytes().decode("utf-32-le")
-
-            _, one = np.unique(self.hash[rec], return_index=True)
-            keys = spelled(self.words[self.at[rec[one]][:, None] + np.arange(phrase)].ravel())
-            for x in range(0, len(keys), phrase * places):
-                automaton.add_word(keys[x : x + phrase * places], True)
-            automaton.make_automaton()
-            for a in range(0, len(self.words), _RUN // 4):
-                text = spelled(self.words[a : a + _RUN // 4 + phrase - 1])
-                ends = np.fromiter((e for e, _ in automaton.iter(text)), np.int64)
-                hit[a + (ends + 1) // places - phrase] = True
-        rec = rec[hit[self.at[rec]]]
-        rec = rec[np.lexsort((self.at[rec], self.ids[self.doc[rec]]))]
-        self.hash, self.at, self.lo, self.hi, self.doc = (x[rec] for x in (self.hash, self.at, self.lo, self.hi, self.doc))
-        self.n = self.hi - self.lo + 1
-        self.first = np.concatenate(([0], np.cumsum(self.n)))
-        starts = np.repeat(self.lo - self.first[:-1], self.n) + np.arange(self.first[-1])
-        self.windows = self._window_hashes(starts)
-        seen: dict[bytes, int] = {}
-        raw = self.windows.tobytes()
-        self.rep = np.array([seen.setdefault(raw[8 * a : 8 * b], i) for i, (a, b) in enumerate(zip(self.first.tolist(), self.first[1:].tolist()))], np.int64)
-        heads = np.flatnonzero(self.rep == np.arange(len(self.rep)))
-        self.heads = heads[np.argsort(self.hash[heads], kind="stable")]
-
-    def _window_hashes(self, starts: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(starts), np.uint64)
-        for base in range(0, len(self.words), _RUN):
-            own = (starts >= base) & (starts < base + _RUN)
-            if own.any():
-                sums = prefix_sums(self.words[base : base + _RUN + self.window])
-                out[own] = span_hash(sums, starts[own] - base, starts[own] - base + self.window)
+        self.length = phrases.shape[1]
+        self.inside = np.unique(phrases)
+        self.places = max(1, -(-len(self.inside).bit_length() // 6))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
+        keys, size = self._spelled(phrases.ravel()), self.length * self.places
+        for x in range(0, len(keys), size):
+            self.automaton.add_word(keys[x : x + size], True)
+        self.automaton.make_automaton()
+
+    def _spelled(self, words: np.ndarray) -> str:
+        at = np.minimum(np.searchsorted(self.inside, words), len(self.inside) - 1)
+        numbers = np.where(self.inside[at] == words, at + 1, 0)
+        return np.stack([(numbers >> 6 * k & 63) + 64 * k for k in range(self.places)], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+
+    def occurrences(self, words: np.ndarray) -> np.ndarray:
+        """Whether a phrase begins at each of ``words``, which are streamed in overlapping runs."""
+        out = np.zeros(len(words), bool)
+        step = _RUN // 4
+        for a in range(0, len(words), step):
+            ends = np.fromiter((e for e, _ in self.automaton.iter(self._spelled(words[a : a + step + self.length - 1]))), np.int64)
+            out[a + (ends + 1) // self.places - self.length] = True
         return out
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, finder: type[Automaton] = Automaton) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, spans (word ranges removed), kept (the other words, joined by a blank).
 
     A word (a run of bytes other than ASCII white space) is removed if a window of ``window`` words that covers it
@@ -101,94 +80,77 @@ def repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Data
     input. Null texts have no words; null doc_ids are the smallest; rows that share a doc_id never
     remove words from each other; texts of fewer words than a window stay whole.
 
-    Round one: every window selects its least phrase, and phrases of two documents or more are
-    confirmed. Round two: each block, as one shard, compiles an Aho-Corasick automaton of the confirmed phrases
-    that it holds, streams its documents through it and sends the windows around each occurrence, once for
-    equal ones, to reducers by phrase, which find the smallest doc_id of each window. So an automaton is
-    bounded by its block, every document is streamed once, and a phrase of a third of all documents meets in
-    a row for each block and surrounding.
+    Every window selects its least phrase, and phrases selected in two documents or more are confirmed. The confirmed
+    phrases are dealt to the blocks of documents that selected them, each of which compiles its share into an Aho-Corasick automaton
+    and streams its documents through it: the windows whose phrase the automaton finds where they selected it are the occurrences. (Shards by
+    phrase would each have to stream all documents, which grows with the square of the corpus; a shard by block is
+    bounded by its block, and every document is streamed once.) Equal regions of windows collapse to the one of
+    the least doc_id; windows of phrases with several different regions are compared one by one in an aggregate.
     """
     if not phrase < window <= phrase + 63:
         raise ValueError("a phrase must be shorter than the window, by 63 words at most")
     packed = B.pack(docs)
-    parts = B.parts_for(packed)
-
-    def ask_phrases(table):
-        s = _Scan(table, window, phrase)
-        by = np.argsort(s.which, kind="stable")
-        heads = np.flatnonzero(np.diff(s.which[by], prepend=-1)) if len(by) else np.zeros(0, np.int64)
-        ids = s.ids[s.doc[by]]
-        low, high = (f.reduceat(ids, heads) if len(heads) else ids for f in (np.minimum, np.maximum))
-        for p, a, b in B.cuts(s.keys, parts):
-            yield p, B.dumps(keys=s.keys[a:b], low=low[a:b], high=high[a:b])
-
-    def confirm(_, requests):
-        got = [B.loads(x) for x in requests]
-        all_keys, low, high = (np.concatenate([g[k] for g in got]) for k in ("keys", "low", "high"))
-        keys, at = np.unique(all_keys, return_inverse=True)
-        least, most = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
-        np.minimum.at(least, at, low)
-        np.maximum.at(most, at, high)
-        again, cut = (least < most)[at], np.cumsum([0, *[len(g["keys"]) for g in got]])
-        return [B.dumps(again=np.packbits(again[a:b])) for a, b in zip(cut, cut[1:])]
-
-    def ask_windows(table, answers):
-        s = _Scan(table, window, phrase)
-        s.located(parts, answers, phrase)
-        keys = s.hash[s.heads]
-        for p, a, b in B.cuts(keys, parts):
-            h = s.heads[a:b]
-            yield p, B.dumps(doc=s.ids[s.doc[h]], n=s.n[h].astype(np.uint8), windows=np.concatenate([s.windows[s.first[i] : s.first[i + 1]] for i in h]))
-
-    def compare(_, requests):
-        got = [B.loads(x) for x in requests]
-        doc, n, windows = (np.concatenate([g[k] for g in got]) for k in ("doc", "n", "windows"))
-        n = n.astype(np.int64)
-        owner = np.repeat(np.arange(len(n)), n)
-        keys, at = np.unique(windows, return_inverse=True)
-        least = np.full(len(keys), np.iinfo(np.int64).max)
-        np.minimum.at(least, at, doc[owner])
-        hit = least[at] < doc[owner]
-        bits = np.zeros(len(n), np.uint64)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        np.bitwise_or.at(bits, owner[hit], np.uint64(1) << inner[hit].astype(np.uint64))
-        cut = np.cumsum([0, *[len(g["n"]) for g in got]])
-        return [B.dumps(bits=bits[a:b]) for a, b in zip(cut, cut[1:])]
-
-    confirmed = runtime.materialise(B.reduce(B.ask(packed, ask_phrases), parts, confirm), "confirmed")
-    verdicts = runtime.materialise(B.reduce(B.ask(packed, ask_windows, confirmed), parts, compare), "verdicts")
-
-    def apply(table, answers):
-        s = _Scan(table, window, phrase)
-        s.located(parts, {p: a for (k, p), a in answers.items() if k == 0}, phrase)
-        bits = np.zeros(len(s.rep), np.uint64)
-        for p, a, b in B.cuts(s.hash[s.heads], parts):
-            bits[s.heads[a:b]] = B.loads(answers[1, p])["bits"]
-        later = s.ids[s.doc] != s.ids[s.doc[s.rep]]
-        bits = np.where(later, np.uint64(2**64 - 1), bits[s.rep])
-        repeated = np.zeros(len(s.words) + 1, bool)
-        for i in np.flatnonzero(bits):
-            repeated[s.lo[i] : s.hi[i] + 1] = (bits[i] >> np.arange(s.n[i], dtype=np.uint64)) & np.uint64(1)
-        out = []
-        for i, (text, (start, end)) in enumerate(zip(s.texts, s.spans)):
-            gone = np.zeros(len(start) + 1, np.int64)
-            for x in np.flatnonzero(repeated[s.offset[i] : s.offset[i + 1]]):
-                gone[x] += 1
-                gone[x + window] -= 1
-            gone = np.concatenate(([0], np.cumsum(gone[:-1]) > 0, [0])).astype(np.int8)
-            edge = np.diff(gone)
-            spans = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
-            kept = b" ".join([text[a:b] for a, b in zip(start[gone[1:-1] == 0].tolist(), end[gone[1:-1] == 0].tolist())])
-            out.append((len(start), int(gone.sum()), [{"start": a, "end": b} for a, b in spans], kept))
-        n, removed, spans, kept = zip(*out)
-        return pa.RecordBatch.from_pydict(
+
+    def ask(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        s = _Words(table, window, phrase)
+        by = np.argsort(s.found[0], kind="stable")
+        h, doc = s.found[0][by], s.doc[by]
+        heads = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        low, high = (f.reduceat(doc, heads) if len(heads) else doc for f in (np.minimum, np.maximum))
+        n = np.diff(np.append(heads, len(h)))
+        yield pa.RecordBatch.from_pydict({"h": pa.array(h[heads].view(np.int64)), "block": pa.array(np.full(len(heads), block)), "low": pa.array(low), "high": pa.array(high), "many": pa.array(np.minimum(n, 2), pa.int32())})
+
+    def regions(block: int, table: pa.Table, got: pa.Array) -> Iterator[pa.RecordBatch]:
+        s = _Words(table, window, phrase)
+        h, at, *_ = s.found
+        keys, one = np.unique(h, return_index=True)
+        dealt = one[np.isin(keys, got.to_numpy().view(np.uint64))]
+        hit = finder(s.words[at[dealt][:, None] + np.arange(phrase)]).occurrences(s.words)[at]
+        yield R.Regions(s.words, window, s.found, hit, s.ids, s.offset, places=False).rows(block)
+
+    def cut(table: pa.Table, starts: np.ndarray, windows: np.ndarray) -> pa.ListArray:
+        words = _Words(table, window, phrase, select=False).words
+        ends = np.cumsum(windows)
+        each = np.repeat(starts - (ends - windows), windows) + np.arange(ends[-1])
+        by = np.argsort(each, kind="stable")
+        ws = np.empty(len(each), np.int64)
+        ws[by] = R.spans(words, each[by], each[by] + window).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ws))
+
+    found, first = R.firsts(packed, ask, regions, documents=True)
+    leads = R.leads(packed, found, first, cut, "ws array<bigint>")
+    bits = runtime.materialise(R.by_windows(leads, places=False), "bits", settle=True)
+    told = R.answers(found, first, bits)
+    runtime.discard(found, first, leads, bits)
+
+    def apply(_: int, table: pa.Table, scan: bytes | None, got: pa.StructArray | None) -> Iterator[pa.RecordBatch]:
+        ids, texts = B.texts(table)
+        split = [t.split() for t in texts]
+        offset = np.concatenate(([0], np.cumsum([len(x) for x in split]))).astype(np.int64)
+        starts = np.flatnonzero(R.repeated(scan, got, ids, offset, places=False))
+        # words covered by a repeated window; windows stay within their documents
+        edge = np.zeros(int(offset[-1]) + window + 1, np.int64)
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + window, -1)
+        gone = np.cumsum(edge)[: offset[-1]] > 0
+        n, removed, cuts, kept = np.diff(offset), [], [], []
+        for words, a, b in zip(split, offset, offset[1:]):
+            own = gone[a:b]
+            step = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8))).tolist()
+            spans = list(zip(step[::2], step[1::2]))
+            removed.append(int(own.sum()))
+            cuts.append([{"start": x, "end": y} for x, y in spans])
+            for x, y in reversed(spans):
+                del words[x:y]
+            kept.append(b" ".join(words))
+        yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": table.column("doc_id").combine_chunks(),
                 "n_words": pa.array(n, pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()),
-                "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                "spans": pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 "kept": pa.array(kept, pa.binary()),
             }
         )
 
-    return B.finish(packed, B.both(confirmed, verdicts), apply, "doc_id long, n_words long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return R.with_blocks(packed, told, apply, "doc_id long, n_words long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary")

@@ -124,7 +124,7 @@ def leads(packed: DataFrame, found: DataFrame, first: DataFrame, cut, more: str)
         yield pa.RecordBatch.from_pydict({c: got.field(c) for c in ("h", "r", "doc", "pos", "n")} | {more.split()[0]: column})
 
     own = found.where("idx < 0").select("block", "scan").join(wanted, "block")
-    return runtime.materialise(with_blocks(packed, own, run, f"h long, r long, doc long, pos long, n long, {more}", "inner"), "leads")
+    return runtime.materialise(with_blocks(packed, own, run, f"h long, r long, doc long, pos long, n long, {more}", "inner"), "leads", settle=True)
 
 
 def by_windows(leads: DataFrame, places: bool) -> DataFrame:
@@ -145,7 +145,7 @@ def answers(found: DataFrame, first: DataFrame, bits: DataFrame) -> DataFrame:
     own = found.where("idx >= 0").select("block", "idx", "h", "r", F.struct(F.col("last_doc").alias("doc"), F.col("last_pos").alias("pos")).alias("last"))
     told = own.join(known, ["h", "r"]).where((F.col("last") > F.struct("doc", "pos")) | (F.col("bits") != 0))
     got = told.groupBy("block").agg(F.collect_list(F.struct("idx", "doc", "pos", "bits")).alias("got"))
-    return runtime.materialise(found.where("idx < 0").select("block", "scan").join(got, "block"), "answers")
+    return runtime.materialise(found.where("idx < 0").select("block", "scan").join(got, "block"), "answers", settle=True)
 
 
 def with_blocks(packed: DataFrame, own: DataFrame | None, fn, schema: str, how: str = "left") -> DataFrame:
@@ -167,6 +167,6 @@ def with_blocks(packed: DataFrame, own: DataFrame | None, fn, schema: str, how:
 def firsts(packed: DataFrame, anchors, regions, documents: bool) -> tuple[DataFrame, DataFrame]:
     """The distinct regions of all blocks whose anchors occur again (and each block's scan), and the first place of each: (h, r, doc, pos, block, idx); both written."""
     again = recurring(with_blocks(packed, None, anchors, "h long, block long, low long, high long, many int"), documents)
-    found = runtime.materialise(with_blocks(packed, again, regions, f"{REGION}, scan binary", "inner"), "regions")
+    found = runtime.materialise(with_blocks(packed, again, regions, f"{REGION}, scan binary", "inner"), "regions", settle=True)
     first = found.where("idx >= 0").groupBy("h", "r").agg(F.min(F.struct("doc", "pos", "block", "idx")).alias("x")).select("h", "r", "x.*")
-    return found, runtime.materialise(first, "firsts")
+    return found, runtime.materialise(first, "firsts", settle=True)

@@ -42,15 +42,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexiquarry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, settle: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts the lineage.
 
     The committed files outlive lost executors; a failed task attempt leaves nothing behind.
+    With ``settle``, Spark may drop the shuffle files of the job at once.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    release(spark)
+    if settle:
+        release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexiquarry_path = path
     return out

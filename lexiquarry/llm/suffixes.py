@@ -133,7 +133,7 @@ class SuffixIndex:
             out = pd.DataFrame({"h": new["h"], "r": new["r"], "bits": bits.view(np.int64)})
             return pd.concat([out.assign(part=key[0], data=None), pd.DataFrame({"part": [key[0]], "data": [level.store()], "h": [0], "r": [0], "bits": [0]})])[["part", "data", "h", "r", "bits"]]
 
-        done = runtime.materialise(batch.groupBy("part").cogroup(stored.groupBy("part")).applyInPandas(extend, "part int, data binary, h long, r long, bits long"), "level")
+        done = runtime.materialise(batch.groupBy("part").cogroup(stored.groupBy("part")).applyInPandas(extend, "part int, data binary, h long, r long, bits long"), "level", settle=True)
         self.written.append(done)
         self.levels = [*self.levels[:stay], (size, done.where("data IS NOT NULL").select("part", "data"))]
         return done.where("data IS NULL").select("h", "r", "bits")
@@ -212,7 +212,7 @@ def repeats(docs: DataFrame, length: int = MIN_BYTES, keep: tuple[str, ...] = ()
             yield pa.RecordBatch.from_pydict({k: b.column(k) for k in ("h", "r", "doc", "pos")} | {"ws": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ws))})
 
     hot = every.where(F.col("n") > HOT_REGIONS).select("h", "r", "doc", "pos", "text").mapInArrow(hashed, "h long, r long, doc long, pos long, ws array<bigint>")
-    settled = runtime.materialise(R.by_windows(hot, places=True), "hot")
+    settled = runtime.materialise(R.by_windows(hot, places=True), "hot", settle=True)
     told = R.answers(found, first, bits.unionByName(settled))
     runtime.discard(found, first, every, settled)
     index.discard()

@@ -1,6 +1,7 @@
 """Operators 2, 5, 7 and 10 against brute force."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -40,7 +41,7 @@ def brute_bytes(rows, length):
 
 @pytest.mark.parametrize("length", [100, 30])
 def test_suffix_dedup_equals_brute_force(spark, corpus, docs, length):
-    got = suffixes.repeats(docs, length, batch=500).collect()
+    got = suffixes.repeats(docs, length, batches=3).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_bytes(corpus, length)
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
 
@@ -52,20 +53,49 @@ def test_suffix_dedup_cuts_whole_characters(spark):
     assert got[2].kept_text == "ab"
 
 
-def test_suffix_levels_grow_geometrically():
-    rng = np.random.default_rng(0)
-    data = rng.integers(97, 99, 20000).astype(np.uint8)
-    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 9)).view("S9").ravel()
-    family, seen, sizes = suffixes.SuffixLevels(), set(), []
-    for a in range(0, len(windows), 100):
-        part = windows[a : a + 100]
-        hit = family.add(part, np.arange(a, a + len(part)))
-        for w, h in zip(part.tolist(), hit.tolist()):
-            assert h == (w in seen)
-            seen.add(w)
-        sizes = [len(k) for k, _ in family.levels]
-        assert all(x >= 2 * y for x, y in zip(sizes, sizes[1:]))
-    assert sum(sizes) == len(seen)
+def test_suffix_index_takes_batches_and_merges_levels(spark):
+    """Batches one after another: levels as the binary digits of their number, sorted, and matches as by brute force."""
+    rng, length = random.Random(3), 20
+    index, seen = suffixes.SuffixIndex(spark, length, parts=3), set()
+    for k in range(7):
+        texts = ["".join(rng.choice("ab") for _ in range(40)) + "x" * rng.randrange(30) for _ in range(12)]
+        rows = [(i % 4, i, 100 * k + i, 7 * i, t.encode()) for i, t in enumerate(texts)]
+        got = {r.r: r.bits & (2**64 - 1) for r in index.add(spark.createDataFrame(rows, "h long, r long, doc long, pos long, text binary")).collect()}
+        part = {h: p for h, p in spark.range(4).selectExpr("id", "pmod(xxhash64(id), 3)").collect()}
+        for h, r, _, _, t in rows:  # in the order of the corpus
+            keys = [(part[h], t[s : s + length]) for s in range(len(t) - length + 1)]
+            for s, key in enumerate(keys):
+                assert got[r] >> s & 1 == (key in seen), (k, r, s)
+                seen.add(key)
+        assert [n for n, _ in index.levels] == [1 << b for b in range(3, -1, -1) if (k + 1) >> b & 1]
+        stored = [[(r.part, suffixes.load(r.data).keys(length).tolist()) for r in rows.collect()] for _, rows in index.levels]
+        assert all(keys == sorted(set(keys)) for level in stored for _, keys in level)
+        flat = [(p, x) for level in stored for p, keys in level for x in keys]
+        assert len(flat) == len(set(flat)) and set(flat) == seen
+
+
+@pytest.mark.parametrize("hot", [1, 10**6])
+def test_hot_anchors_and_the_index_agree(spark, corpus, docs, monkeypatch, hot):
+    """Regions by windows' hashes, and regions through the index alone, give what brute force gives."""
+    monkeypatch.setattr(suffixes, "HOT_REGIONS", hot)
+    monkeypatch.setattr(suffixes, "PART_REGIONS", 10)
+    got = suffixes.repeats(docs, 40).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_bytes(corpus, 40)
+
+
+def test_the_index_finds_what_regions_alone_do_not(spark, monkeypatch):
+    """Equal strings within different regions are found by the levels: without them they stay."""
+    shared = "".join(random.Random(1).choices("abcdefgh", k=130))
+    rows = frame(spark, [(1, "x" * 9 + shared + "yz"), (2, "q" * 7 + shared + "rst"), (3, shared)])
+    assert {r.doc_id: r.n_removed for r in suffixes.repeats(rows, batches=2).collect()} == {1: 0, 2: 130, 3: 130}
+    add = suffixes.SuffixIndex.add
+
+    def forgetful(self, regions):
+        self.levels = []
+        return add(self, regions)
+
+    monkeypatch.setattr(suffixes.SuffixIndex, "add", forgetful)
+    assert sum(r.n_removed for r in suffixes.repeats(rows, batches=3).collect()) < 260
 
 
 def brute_words(rows, window):
@@ -91,6 +121,29 @@ def test_phrase_dedup_equals_brute_force(spark, corpus, docs, window, phrase):
     assert Counter((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in got) == brute_words(corpus, window)
 
 
+def test_occurrences_come_from_the_automaton(spark):
+    class Blind:
+        def __init__(self, phrases):
+            pass
+
+        def occurrences(self, words):
+            return np.zeros(len(words), bool)
+
+    rows = frame(spark, [(i, " ".join(f"w{j}" for j in range(60 + i))) for i in range(3)])
+    assert sum(r.n_removed for r in phrases.repeats(rows).collect()) == 121
+    assert sum(r.n_removed for r in phrases.repeats(rows, finder=Blind).collect()) == 0
+
+
+def test_automaton_finds_every_occurrence_across_runs(monkeypatch):
+    monkeypatch.setattr(phrases, "_RUN", 64)
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 3, 5000).astype(np.uint64)
+    some = np.unique(np.lib.stride_tricks.sliding_window_view(words, 6)[:40], axis=0)
+    want = {tuple(x) for x in some.tolist()}
+    got = phrases.Automaton(some).occurrences(words)
+    assert got.tolist() == [tuple(words[i : i + 6].tolist()) in want for i in range(5000)]
+
+
 def shingles(text):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
