@@ -25,6 +25,8 @@ NO_BAND, FEW_BINS = 4.3e-7, 1e-8
 ROWS, BINS = 5, 190
 #: Bands are searched in groups that begin with these; what one group has linked, the next needn't compare.
 GROUPS = (0, 2, 8)
+#: Members, and shingles of all members, in a chunk of a bucket, about; a tile compares two chunks.
+CHUNK_ROWS, CHUNK_SHINGLES = 2048, 1 << 20
 SEED = 0x51ED270B7F4A7C15
 _RUN = 1 << 20
 _FREE = np.uint64(2**64 - 1)
@@ -215,6 +217,57 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
 
 
+def _left_apart(packed: DataFrame, spokes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a bucket that the links of its least node left in different components.
+
+    A bucket goes through in tiles: the members outside the least node's component, in chunks, against all members, in chunks. A
+    tile compares full sets, and passes over members that its earlier links have joined already, so it returns at
+    most one link for each component that it joins to another: fewer rows than it has members.
+    """
+    label = found.select("node", "component")
+    here = spokes.where("node <> hub").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    here = here.join(label.select(F.col("node").alias("hub"), F.col("component").alias("c")), "hub", "left").withColumn("apart", F.col("component") != F.coalesce("c", "hub"))
+    here = runtime.materialise(here.select("bucket", "node", "n", "component", "apart"), "members")
+    chunks = lambda rows, n: F.ceil(F.greatest(rows / CHUNK_ROWS, n / CHUNK_SHINGLES)).cast("int")
+    own = [F.when(F.col("apart"), x) for x in (F.lit(1), F.col("n"))]
+    sizes = here.groupBy("bucket").agg(chunks(F.count(own[0]), F.sum(own[1])).alias("lefts"), chunks(F.count(F.lit(1)), F.sum("n")).alias("rights"), F.count(F.lit(1)).alias("rows"))
+    tiled = here.join(sizes.where("lefts > 0 AND rows > 1"), "bucket").withColumn("p", F.pmod(F.xxhash64("node"), "lefts").cast("int")).withColumn("q", F.pmod(F.xxhash64("node"), "rights").cast("int"))
+    tile = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda q: tile(F.col("p"), q))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda p: tile(p, F.col("q")))
+    placed = tiled.withColumn("tile", F.explode(F.when(F.col("apart"), F.array_union(as_left, as_right)).otherwise(as_right)))
+    placed = placed.select("bucket", "tile", "node", "component", (F.col("apart") & (F.col("tile.p") == F.col("p"))).alias("left"), (F.col("tile.q") == F.col("q")).alias("right"))
+    placed = runtime.materialise(placed, "tiles")
+    sets = runtime.materialise(_sets(packed, placed.select("node").distinct()), "sets")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        node, c, left, right = (pdf[x].to_numpy().copy() for x in ("node", "component", "left", "right"))
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
+        n = np.array([len(x) for x in sets])
+        seen, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        own = np.split(flat.astype(np.int32), np.cumsum(n)[:-1])
+        mark = np.zeros(len(seen), bool)
+        out = [np.zeros((0, 2), np.int64)]
+        for i in np.flatnonzero(left):
+            j = np.flatnonzero(right & (c != c[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent))
+            if not len(j):
+                continue
+            mark[own[i]] = True
+            shared = np.add.reduceat(mark[np.concatenate([own[x] for x in j])], np.cumsum(n[j]) - n[j], dtype=np.int64)
+            mark[own[i]] = False
+            j = j[shared * 100 >= (n[i] + n[j] - shared) * percent]
+            joined, first = np.unique(c[j], return_index=True)
+            out.append(np.stack((np.full(len(first), node[i]), node[j[first]]), axis=1))
+            c[np.isin(c, joined)] = c[i]
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    both = placed.join(sets, "node").select("bucket", "tile", "node", "component", "left", "right", "items")
+    links = runtime.materialise(both.groupBy("bucket", "tile").applyInPandas(compare, "a long, b long").distinct(), "rest")
+    runtime.discard(here, placed, sets)
+    return links
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -227,10 +280,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Candidates share a band of their sketches; of those whose sketches agree enough, every link is confirmed on the
     full sets. Bands are searched in groups. In a bucket, members whose component isn't yet that of the bucket's least
     node are compared with that node: a row each, not all pairs. In the end, members that are still outside their least
-    node's component are compared with the other members of other components, sketch by sketch in arrays, and the
-    alike are confirmed. So a bucket of thousands of linked copies costs its size; texts of a family that are alike but below
-    the threshold are compared with each other, which grows with the square of the family. The sketches' ``shape`` follows ``percent``, so a link is lost with a
-    probability of about 4e-7 at most, whatever the threshold.
+    node's component are compared with the other members of other components on full sets, in tiles of bounded size that
+    return a spanning set of links. So a bucket of thousands of linked copies costs its size, and no rows or stored bytes grow with
+    the square of a bucket of up to a chunk; beyond it, members are sent once for each chunk. Texts of a family that are alike but
+    below the threshold are compared with each other in arrays, whose time grows with the square of the family. The sketches'
+    ``shape`` follows ``percent``, so a link is lost with a probability of about 4e-7 at most, whatever the threshold.
     """
     form = shape(percent)
     packed = B.pack(docs)
@@ -238,7 +292,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     nodes = runtime.materialise(rows.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "node", "n", "bands", "bins")).alias("x")).select("sig", "x.*"), "nodes")
     close = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     is_link = F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent
-    links, found, spokes = None, None, None
+    links, found, spokes, tables = None, None, None, []
     for low, high in form.groups:
         # one long stands for band and hash
         each = F.transform(F.slice("bands", low + 1, high - low), lambda h, i: F.xxhash64(i + low, h))
@@ -254,33 +308,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         new = _verify(packed, pairs).where(is_link).select("a", "b")
         links = new if links is None else links.unionByName(new)
         found = runtime.materialise(components(links), "components")
+        tables += [own, pairs]
 
-    # what the least nodes' links left apart
-    label = found.select("node", "component")
-    here = spokes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    here = here.join(label.select(F.col("node").alias("hub"), F.col("component").alias("c")), "hub", "left").withColumn("apart", F.col("component") != F.coalesce("c", "hub"))
-    here = runtime.materialise(here.where("node <> hub").select("bucket", "node", "n", "component", "apart"), "members")
-    open_ = here.where("apart").select("bucket").distinct()
-    left_over = here.join(open_, "bucket").join(nodes.select("node", "bins"), "node")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        node, n, c, apart = (pdf[x].to_numpy() for x in ("node", "n", "component", "apart"))
-        bins = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), -1)
-        out = []
-        for i in np.flatnonzero(apart):
-            # of two that are apart the lesser looks for the other
-            fit = (c != c[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent) & (~apart | (node > node[i]))
-            j = np.flatnonzero(fit)
-            j = j[(bins[j] == bins[i]).sum(axis=1) >= form.least]
-            out.append(pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "n_a": np.where(node[j] > node[i], n[i], n[j]), "n_b": np.where(node[j] > node[i], n[j], n[i])}))
-        return pd.concat(out) if out else pd.DataFrame({x: np.zeros(0, np.int64) for x in ("a", "b", "n_a", "n_b")})
-
-    rest = runtime.materialise(left_over.select("bucket", "node", "n", "component", "apart", "bins").groupBy("bucket").applyInPandas(compare, "a long, b long, n_a long, n_b long").distinct(), "rest")
-    if rest.limit(1).count():
-        more = _verify(packed, rest).where(is_link).select("a", "b")
-        if more.limit(1).count():
-            found = components(links.unionByName(more))
+    more = _left_apart(packed, spokes, found, percent)
+    if more.limit(1).count():
+        found = components(links.unionByName(more))
+    runtime.discard(packed, *tables)
     named = nodes.join(found, "node", "left").select("sig", "doc_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = named.join(least, "component").select("sig", "component_id")

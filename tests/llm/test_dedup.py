@@ -265,3 +265,18 @@ def test_sketches_lose_no_pair_at_any_threshold(percent):
     assert (1 - s**form.rows) ** form.bands <= minhash.NO_BAND
     assert sum(math.comb(form.bins, k) * s**k * (1 - s) ** (form.bins - k) for k in range(form.least)) <= minhash.FEW_BINS
     assert [b for low, high in form.groups for b in range(low, high)] == list(range(form.bands))
+
+
+def test_near_duplicates_in_tiles_equal_brute_force(spark, monkeypatch):
+    """Copies of one text, each with its own changes: some are linked with each other, few with the least one, most with none."""
+    monkeypatch.setattr(minhash, "CHUNK_ROWS", 7)
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(90):
+        words = [f"f{j}" for j in range(120)]
+        for at in rng.choice(120, rng.integers(1, 6), replace=False):
+            words[at] = f"c{i}x{at}"
+        rows.append((i, " ".join(words)))
+    got = minhash.near_duplicates(frame(spark, rows)).collect()
+    want = brute_components(rows, 85)
+    assert Counter(tuple(r) for r in got) == want and 3 < len({r.component_id for r in got}) < 90
