@@ -18,6 +18,8 @@ STRENGTH = 1.0
 SWEEPS, SAMPLES, BURN = 2, 4, 1
 #: Blocks whose requests one task answers.
 ANSWER_BLOCKS = 64
+#: Answers give log10 probabilities in steps of one part of so many, far below the spread between samples.
+STEPS = 1024
 END = np.uint64(0x1D8E4E27C47D124F)
 _RUN = 1 << 20
 
@@ -25,8 +27,8 @@ _RUN = 1 << 20
 class _Tokens:
     """A block's distinct words, its distinct (word, context) events and their places in the documents.
 
-    The context of a word is its predecessor's last two bytes (0 at a document's start); that restaurant's
-    parent goes by the last byte, whose parent is the root. So there are 65,793 restaurants at most.
+    The context of a word is 8 bits of its predecessor's hash and the predecessor's last byte (0 at a document's start); that
+    restaurant's parent goes by the last byte alone, whose parent is the root. So there are 65,793 restaurants at most.
     """
 
     def __init__(self, table: pa.Table) -> None:
@@ -38,11 +40,12 @@ class _Tokens:
             starts, ends = words_of(buf)
             cut = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts[a:b]]]))
             n = np.diff(cut)
-            last = np.where(ends - starts > 1, buf[ends - 2], 0).astype(np.int64) * 256 + buf[ends - 1] if len(ends) else np.zeros(0, np.int64)
+            own = word_hashes(buf, starts, ends)
+            last = (own >> np.uint64(56)).astype(np.int64) << 8 | buf[ends - 1]
             # each document's words, then its end
             place = np.arange(len(starts)) + np.repeat(np.arange(len(n)), n)
             h = np.full(len(starts) + len(n), END)
-            h[place] = word_hashes(buf, starts, ends)
+            h[place] = own
             c = np.zeros(len(h), np.int64)
             c[place + 1] = last
             hashes.append(h)
@@ -226,7 +229,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
             q = B.loads(data)
             at = np.searchsorted(m["words"], q["words"])
             e = np.searchsorted(events, np.repeat(at, q["n"]) << 16 | q["context"])
-            out.append(B.dumps(p=np.log10(mean[e]).astype(np.float32), known=known[at]))
+            out.append(B.dumps(p=np.rint(np.log10(mean[e]) * STEPS).astype(np.int16), known=known[at]))
         return pd.DataFrame({"block": pdf["block"].to_numpy(), "p": pdf["p"].to_numpy(), "data": out})
 
     # a part's model goes to as many tasks as its blocks need
@@ -242,7 +245,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         logs, known = np.zeros(len(t.counts)), np.zeros(len(t.words), np.int64)
         for p, a, b in B.cuts(t.words, parts):
             x = B.loads(got[p])
-            logs[t.first[a] : t.first[b]], known[a:b] = x["p"], x["known"]
+            logs[t.first[a] : t.first[b]], known[a:b] = x["p"] / STEPS, x["known"]
         doc = np.repeat(np.arange(len(t.sizes)), t.sizes)
         base = np.log10((known + 1) / (total + vocabulary + 1))
         word = t.event_word[t.event]
