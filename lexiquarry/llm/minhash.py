@@ -220,7 +220,9 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def _left_apart(packed: DataFrame, spokes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of a bucket that the links of its least node left in different components.
 
-    A bucket goes through in tiles: the members outside the least node's component, in chunks, against all members, in chunks. A
+    Only buckets whose members are of several components are looked at, and of those with the same members one, as bands of
+    alike texts make the same bucket over and over: 128 bits of hashes and a count tell them apart, and whichever hub the one
+    that stays has, all pairs of different components are compared. A bucket goes through in tiles: the members outside the least node's component, in chunks, against all members, in chunks. A
     tile compares full sets, and passes over members that its earlier links have joined already, so it returns at
     most one link for each component that it joins to another: fewer rows than it has members.
     """
@@ -230,8 +232,11 @@ def _left_apart(packed: DataFrame, spokes: DataFrame, found: DataFrame, percent:
     here = runtime.materialise(here.select("bucket", "node", "n", "component", "apart"), "members")
     chunks = lambda rows, n: F.ceil(F.greatest(rows / CHUNK_ROWS, n / CHUNK_SHINGLES)).cast("int")
     own = [F.when(F.col("apart"), x) for x in (F.lit(1), F.col("n"))]
-    sizes = here.groupBy("bucket").agg(chunks(F.count(own[0]), F.sum(own[1])).alias("lefts"), chunks(F.count(F.lit(1)), F.sum("n")).alias("rights"), F.count(F.lit(1)).alias("rows"))
-    tiled = here.join(sizes.where("lefts > 0 AND rows > 1"), "bucket").withColumn("p", F.pmod(F.xxhash64("node"), "lefts").cast("int")).withColumn("q", F.pmod(F.xxhash64("node"), "rights").cast("int"))
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"same{i}") for i in range(2)]
+    ends = [F.min("component").alias("least"), F.max("component").alias("most")]
+    sizes = here.groupBy("bucket").agg(chunks(F.count(own[0]), F.sum(own[1])).alias("lefts"), chunks(F.count(F.lit(1)), F.sum("n")).alias("rights"), F.count(F.lit(1)).alias("rows"), *ends, *same)
+    sizes = sizes.where("lefts > 0 AND least < most").groupBy("rows", "same0", "same1").agg(F.min(F.struct("bucket", "lefts", "rights")).alias("x")).select("x.*")
+    tiled = here.join(sizes, "bucket").withColumn("p", F.pmod(F.xxhash64("node"), "lefts").cast("int")).withColumn("q", F.pmod(F.xxhash64("node"), "rights").cast("int"))
     tile = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
     as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda q: tile(F.col("p"), q))
     as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda p: tile(p, F.col("q")))
@@ -292,7 +297,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     nodes = runtime.materialise(rows.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "node", "n", "bands", "bins")).alias("x")).select("sig", "x.*"), "nodes")
     close = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     is_link = F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent
-    links, found, spokes, tables = None, None, None, []
+    links, found, spokes, compared, tables = None, None, None, None, []
     for low, high in form.groups:
         # one long stands for band and hash
         each = F.transform(F.slice("bands", low + 1, high - low), lambda h, i: F.xxhash64(i + low, h))
@@ -303,8 +308,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         pairs = own.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).distinct()
         if found is not None:
             pairs = _apart(pairs, found)
+            # what an earlier group has compared in vain
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").where(close(F.col("n_a"), F.col("n_b")))
-        pairs = runtime.materialise(_alike(pairs, nodes, form), "pairs")
+        # written first, so that Spark knows its size when it plans the joins with the sketches
+        candidates = runtime.materialise(pairs, "candidates")
+        pairs = runtime.materialise(_alike(candidates, nodes, form), "pairs")
+        runtime.discard(candidates)
+        compared = pairs.select("a", "b") if compared is None else compared.unionByName(pairs.select("a", "b"))
         new = _verify(packed, pairs).where(is_link).select("a", "b")
         links = new if links is None else links.unionByName(new)
         found = runtime.materialise(components(links), "components")
