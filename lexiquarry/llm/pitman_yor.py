@@ -16,8 +16,9 @@ from .hashing import lower, word_hashes, words_of
 STRENGTH = 1.0
 #: Sweeps that give the restaurants' totals, samples that are averaged, and sweeps before these.
 SWEEPS, SAMPLES, BURN = 2, 4, 1
-#: Blocks whose requests one task answers.
-ANSWER_BLOCKS = 64
+#: Blocks whose requests one task answers. Each further task of a part gets a copy of the part's model and samples it anew,
+#: while a part's requests are about what two blocks ask, so this only bounds what a very frequent word's part holds.
+ANSWER_BLOCKS = 1024
 #: Answers give log10 probabilities in steps of one part of so many, far below the spread between samples.
 STEPS = 1024
 END = np.uint64(0x1D8E4E27C47D124F)
