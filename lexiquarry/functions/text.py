@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -22,6 +24,15 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+#: All characters that Unicode calls white space.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def trimmed(c: Column) -> Column:
+    """``strip`` by looking at the ends alone."""
+    return F.btrim(c, F.lit(_BLANKS))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space as one blank."""
     return F.regexp_replace(c, _SPACE, " ")
@@ -53,8 +64,9 @@ def joined(*parts: Column) -> Column:
 
 def hits(c: Column, keywords: Sequence[str]) -> Column:
     """How many of the keywords the text contains, in any case."""
+    # a plain sum, so that the lower-case text is made once
     low = F.lower(F.coalesce(c, F.lit("")))
-    return F.size(F.filter(F.array(*[F.lit(k.lower()) for k in keywords]), lambda k: F.contains(low, k)))
+    return functools.reduce(operator.add, [F.contains(low, F.lit(k.lower())).cast("int") for k in keywords], F.lit(0))
 
 
 def subject_of(c: Column, position: Column, total: Column) -> Column:

@@ -1,194 +1,190 @@
-"""Exam papers and list questions: parsers that keep state from line to line.
+"""Exam papers and list questions, taken apart by folds and other higher-order functions; all runs in the JVM.
 
-Each paper format is a table of patterns; one reader walks the lines of a question with it, in a vectorised
-function by batch. Formats differ in their tests' order and in what they keep, and the table says so.
+The patterns are fixed values; white space counts in all of Unicode, as for the producers of such texts.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import subject_of, without_noise
-
-_LETTER = dict(zip("1234", "abcd"))
-QUESTION = "number int, question string, option_a string, option_b string, option_c string, option_d string, correct_answer string"
-
-
-@dataclass(frozen=True)
-class Format:
-    """Patterns of a paper: where questions begin, and what ends, answers and optional lines look like."""
-
-    begin: str
-    number: str
-    answer: str
-    options: tuple[str, ...]
-    stop: str = ""
-    most: int | None = None
-    answer_ends_text: bool = True
-    answer_value: Callable[[str], str] = str
-    ignore_case: bool = True
-    keep: Callable[[dict, str], bool] = lambda options, answer: True
-    strict_options: str = ""
-
-
-_NUMBERED = r"^(\d+)\.\s*"
-_DIGIT, _ALPHA = r"^\(([1-4])\)\s*(.*)", r"^([a-dA-D])\.\s*(.*)"
-
-STANDARD = Format(r"\n(?=\d+\.[\s\n])", _NUMBERED, r"Ans\.\s*[\(\[]?([1-4abcd])[\)\]]?", (_DIGIT, _ALPHA), most=200, keep=lambda o, a: bool(o["a"] or a))
-SOLUTION = Format(r"\n\s*\n\s*(?=\d+\.)", _NUMBERED, r"\b(?:Ans(?:wer)?|Sol)\s*[.:]?\s*[\(\[]?\b([1-4abcd])\b[\)\]]?", (_DIGIT, _ALPHA), stop=r"Sol\.|Solution|Students find")
-Q_FORMAT = Format(r"\n(?=Q\.\d+\s)", r"^Q\.(\d+)\s*", r"Ans\.\s*\[([1-4])\]", (_DIGIT,), stop=r"^Sol\.|^Solution", answer_value=_LETTER.__getitem__, ignore_case=False)
-INLINE = Format(r"\n(?=\s*\d+\.)", _NUMBERED, r"\bAns(?:wer)?\b\s*[.:]?\s*\b([a-d])\b", (r"^([a-dA-D])\.\s+(.*)",), most=200, answer_ends_text=False, answer_value=str.lower, keep=lambda o, a: bool(o["a"]), strict_options=r"^[a-dA-D]\.")
-FORMATS = {"standard": STANDARD, "sol": SOLUTION, "q_format": Q_FORMAT, "abcd_inline": INLINE}
-#: Answer patterns that also match inside words, as older data was parsed.
-COMPAT = {"sol": r"(?:Ans(?:wer)?|Sol)\s*[.:]?\s*[\(\[]?([1-4abcd])[\)\]]?", "abcd_inline": r"Ans(?:wer)?\s*[.:]?\s*([a-d])"}
-
-
-def parse(text: str, fmt: str, compat: bool = False) -> Iterator[tuple]:
-    """Questions of a paper. Blocks of other numbers than the format allows, and questions of 20 characters or fewer, are left out."""
-    f = FORMATS[fmt]
-    answer_re = re.compile(COMPAT.get(fmt, f.answer) if compat else f.answer, re.I if f.ignore_case else 0)
-    for block in re.split(f.begin, text or ""):
-        block = block.strip()
-        head = re.match(f.number, block)
-        if not head or f.most is not None and not 1 <= int(head[1]) <= f.most:
-            continue
-        got = _Reader(f, answer_re)
-        for line in filter(None, map(str.strip, block.split("\n"))):
-            if f.stop and re.search(f.stop, line, re.I):
-                break
-            got.line(line)
-        question = re.sub(r"\s+", " ", " ".join(got.text).strip())
-        if len(question) > 20 and f.keep(got.options, got.answer):
-            yield int(head[1]), question, *[got.options[k].strip() for k in "abcd"], got.answer
-
-
-class _Reader:
-    def __init__(self, f: Format, answer_re: re.Pattern) -> None:
-        self.f, self.answer_re = f, answer_re
-        self.text: list[str] = []
-        self.options = dict.fromkeys("abcd", "")
-        self.answer, self.current, self.in_text = "", "", True
-
-    def line(self, line: str) -> None:
-        if found := self.answer_re.search(line):
-            self.answer = self.f.answer_value(found[1])
-            self.in_text &= not self.f.answer_ends_text
-        elif option := next(filter(None, (re.match(p, line) for p in self.f.options)), None):
-            self.current, self.in_text = _LETTER.get(option[1], option[1].lower()), False
-            self.options[self.current] = option[2]
-        elif self.current and not self.in_text:
-            if not (self.f.strict_options and re.match(self.f.strict_options, line)):
-                self.options[self.current] += " " + line
-        elif self.in_text:
-            self.text.append(re.sub(self.f.number, "", line))
+from ..functions import fixed
+from ..functions.text import collapse, strip, subject_of, trimmed, without_noise
 
+FORMATS = tuple(fixed.PAPER_BEGIN)
+LETTERS = ("a", "b", "c", "d")
+#: Answer patterns of two formats that match whole words only; the fixed ones, for ``compat``, also match inside words.
+WHOLE_ANSWER = {"sol": r"(?i)\b(?:Ans(?:wer)?|Sol)\s*[.:]?\s*[\(\[]?\b([1-4abcd])\b", "abcd_inline": r"(?i)\bAns(?:wer)?\b\s*[.:]?\s*\b([a-d])\b"}
+_NONE = "cast(array() as array<string>)"
 
-def questions(papers: DataFrame, compat: bool = False, text: str = "text", fmt: str = "format") -> DataFrame:
-    """One row for each question of each paper (id, text, format, year): id, year, position (from 0), total, the question's columns and its subject.
-
-    Unknown formats are read as 'standard'. Noise of the pages goes first. Papers are parsed apart, so they spread over tasks.
-    """
-    cleaned = papers.select("id", "year", F.coalesce(F.when(F.col(fmt).isin(*FORMATS), F.col(fmt)), F.lit("standard")).alias("format"), without_noise(F.col(text)).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["id", "year", "position", "total", *[x.split()[0] for x in QUESTION.split(", ")]]
-        for pdf in batches:
-            rows = []
-            for i, year, kind, body in pdf.itertuples(index=False):
-                found = list(parse(body, kind, compat))
-                rows += [(i, year, k, len(found), *q) for k, q in enumerate(found)]
-            yield pd.DataFrame(rows, columns=names)
+def _unicode(pattern: str) -> str:
+    return "(?U)" + pattern
 
-    kind = cleaned.schema["id"].dataType.simpleString()
-    parsed = cleaned.mapInPandas(run, f"id {kind}, year int, position int, total int, {QUESTION}")
-    return parsed.withColumn("subject", subject_of(F.col("question"), F.col("position"), F.col("total")))
 
+def _marked(line: Column, answer: Column, fmt: str) -> Column:
+    """What a line is by itself: an answer, an option with its letter and text, or neither.
 
-_HEADER = re.compile(r"(?:list|column)\s*[-–—\s]*\b(I{1,2})\b", re.I)
-_ITEM = re.compile(r"\(\s*([a-h])\s*\)|\(\s*([ivx]{1,4})\s*\)|(?:^|(?<=\s))([a-h]|\d{1,2})\.(?=\s|$)|(?:^|(?<=\s))([ivx]{1,4})\.(?=\s|$)", re.I)
-_REPEATED = re.compile(r"\s*[;,.]?\s*(?:list|column)\s*[-–—\s]*I{1,2}\s*(?:\[[^\]]*\])?\s*:?\s*$", re.I)
-_TRAILER = re.compile(r"\b(?:choose|select|identify)\b", re.I)
-
-
-def match_lists(text: str | None) -> dict | None:
-    """preamble, items_1, items_2, trailer of a match-the-lists question; None where the two lists differ in number.
-
-    The lists begin after the last header of list I and the first of list II behind it.
+    Options begin with a digit 1 to 4 in brackets or, but for one format, a letter a to d and a dot; in the inline format white space must follow that.
+    """
+    head, second = F.substring(line, 1, 1), F.substring(line, 2, 1)
+    first = F.translate(head, "ABCD", "abcd")
+    digit = (head == "(") & (F.substring(line, 3, 1) == ")") & second.isin("1", "2", "3", "4")
+    dotted = (second == ".") & first.isin(*LETTERS)
+    if fmt == "abcd_inline":
+        letter = F.when(dotted & (trimmed(F.substring(line, 3, 1)) == ""), first)
+    else:
+        letter = F.when(digit, F.translate(second, "1234", "abcd"))
+        letter = letter if fmt == "q_format" else letter.when(dotted, first)
+    body = trimmed(F.when(digit, F.substring(line, F.lit(4), F.length(line))).otherwise(F.substring(line, F.lit(3), F.length(line))))
+    # of the inline format a line that begins like an option, but isn't one, never goes on with an option
+    loose = ~dotted if fmt == "abcd_inline" else F.lit(True)
+    letter = F.when(answer == "", letter.otherwise("")).otherwise("")
+    return F.struct(answer.alias("answer"), letter.alias("letter"), F.when(digit | dotted, body).alias("body"), line.alias("line"), loose.alias("loose"))
+
+
+def _answer(line: Column, fmt: str, compat: bool) -> Column:
+    pattern = fixed.PAPER_ANSWER[fmt] if compat else WHOLE_ANSWER.get(fmt, fixed.PAPER_ANSWER[fmt])
+    # most lines have none, which a plain look at them tells
+    found = F.when(line.rlike("(?iu)ans|sol"), F.regexp_extract(line, _unicode(pattern), 1)).otherwise("")
+    return {"q_format": F.translate(found, "1234", "abcd"), "abcd_inline": F.lower(found)}.get(fmt, found)
+
+
+def _question(block: Column, fmt: str, compat: bool) -> Column:
+    """A fold over the lines of a block: whether the question's text still goes on, the option that is open, and the texts of all."""
+    lines = F.filter(F.transform(F.split(block, "\n"), trimmed), lambda x: x != "")
+    if fmt in fixed.PAPER_STOP:
+        # slice() takes what stands before the first line that stops
+        stop = F.array_position(F.transform(lines, lambda x: x.rlike(_unicode(fixed.PAPER_STOP[fmt]))), True)
+        lines = F.slice(lines, F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.size(lines)).cast("int"))
+    zero = F.struct(F.lit(True).alias("open"), F.lit("").alias("option"), F.lit("").alias("answer"), *[F.expr(_NONE).alias(k) for k in ("text", *LETTERS)])
+
+    def step(acc: Column, x: Column) -> Column:
+        is_answer, is_option = x["answer"] != "", x["letter"] != ""
+        rest = ~is_answer & ~is_option
+        ends = is_option if fmt == "abcd_inline" else is_option | is_answer
+
+        def option(k: str) -> Column:
+            more = rest & ~acc["open"] & (acc["option"] == k) & x["loose"]
+            return F.when(x["letter"] == k, F.array(x["body"])).when(more, F.concat(acc[k], F.array(x["line"]))).otherwise(acc[k]).alias(k)
+
+        bare = F.when(x["line"].rlike(r"(?U)^\d|^Q"), F.regexp_replace(x["line"], _unicode(fixed.PAPER_NUMBER[fmt]), "")).otherwise(x["line"])
+        text = F.when(rest & acc["open"], F.concat(acc["text"], F.array(bare))).otherwise(acc["text"])
+        return F.struct(
+            (acc["open"] & ~ends).alias("open"), F.when(is_option, x["letter"]).otherwise(acc["option"]).alias("option"), F.when(is_answer, x["answer"]).otherwise(acc["answer"]).alias("answer"),
+            text.alias("text"), *[option(k) for k in LETTERS],
+        )
+
+    def done(acc: Column) -> Column:
+        number = F.regexp_extract(block, _unicode(fixed.PAPER_NUMBER[fmt]), 1).try_cast("bigint")
+        # what was joined has no white space at its ends but joining blanks
+        options = [F.trim(F.array_join(acc[k], " ")).alias(f"option_{k}") for k in LETTERS]
+        return F.struct(number.alias("number"), F.trim(collapse(F.array_join(acc["text"], " "))).alias("question"), *options, acc["answer"].alias("correct_answer"))
+
+    answered = F.transform(lines, lambda x: F.struct(x.alias("line"), _answer(x, fmt, compat).alias("answer")))
+    return F.aggregate(F.transform(answered, lambda x: _marked(x["line"], x["answer"], fmt)), zero, step, done)
+
+
+def _kept(q: Column, fmt: str) -> Column:
+    long = F.length(q["question"]) > fixed.QUESTION_LENGTH
+    if fmt == "standard":
+        return long & ((q["option_a"] != "") | (q["correct_answer"] != ""))
+    return long & (q["option_a"] != "") if fmt == "abcd_inline" else long
+
+
+def paper(text: Column, fmt: str, compat: bool = False) -> Column:
+    """Questions of a paper of one format, as an array of (number, question, option_a to option_d, correct_answer).
+
+    Blocks without a number or, in the standard and inline formats, of numbers outside 1 to 200, questions of 20 characters or fewer, and those without
+    an option a (standard: or an answer) are left out. A number too great for a long is null. Null and empty texts have none.
     """
-    heads = list(_HEADER.finditer(text or ""))
-    first = max((h.start() for h in heads if len(h[1]) == 1), default=None)
-    second = next((h for h in heads if len(h[1]) == 2 and first is not None and h.start() > first), None)
-    if second is None:
-        return None
-    body, trailer = text[second.end() :], ""
-    if cut := _TRAILER.search(body):
-        body, trailer = body[: cut.start()], body[cut.start() :].strip()
-    marks = list(_ITEM.finditer(body))
-    lists: tuple[list[str], list[str]] = ([], [])
-    for m, end in zip(marks, [*[x.start() for x in marks[1:]], len(body)]):
-        if item := _REPEATED.sub("", body[m.start() : end].strip()).strip():
-            lists[0 if m[1] or m[3] else 1].append(item)
-    if not lists[0] or len(lists[0]) != len(lists[1]):
-        return None
-    return {"preamble": text[:first].strip(), "items_1": lists[0], "items_2": lists[1], "trailer": trailer}
+    blocks = F.transform(F.split(F.coalesce(text, F.lit("")), _unicode(fixed.PAPER_BEGIN[fmt])), trimmed)
 
+    def numbered(block: Column) -> Column:
+        if fmt in ("sol", "q_format"):
+            return block.rlike(_unicode(fixed.PAPER_NUMBER[fmt]))
+        return F.coalesce(F.regexp_extract(block, _unicode(fixed.PAPER_NUMBER[fmt]), 1).try_cast("bigint").between(1, fixed.PAPER_LAST_NUMBER), F.lit(False))
 
-_LABEL = re.compile(r"\b(?:(?:assertion|reason)\s*\(?\s*[a-z]?\s*\)?|statements?\s*[-\s]*(?:[ivx]{1,3}|[a-h]|\d{1,2}))\s*:", re.I)
-_LIGHT = re.compile(r"\b(?:in the light of|choose|select|identify)\b", re.I)
+    return F.filter(F.transform(F.filter(blocks, numbered), lambda b: _question(b, fmt, compat)), lambda q: _kept(q, fmt))
 
 
-def statements(text: str | None) -> dict | None:
-    """intro, parts, trailer of an assertion-and-reason question; None with fewer than two different labels. Of a label that repeats, the last counts."""
-    last = {re.sub("[^a-z0-9]", "", m[0].lower()): m for m in _LABEL.finditer(text or "")}
-    marks = sorted(last.values(), key=re.Match.start)
-    if len(marks) < 2:
-        return None
-    cut = _LIGHT.search(text, marks[-1].end())
-    ends = [*[m.start() for m in marks[1:]], cut.start() if cut else len(text)]
-    parts = [p for m, end in zip(marks, ends) if (p := text[m.start() : end].strip())]
-    return {"intro": text[: marks[0].start()].strip(), "parts": parts, "trailer": text[cut.start() :].strip() if cut else ""}
+def questions(papers: DataFrame, compat: bool = False, text: str = "text", fmt: str = "format") -> DataFrame:
+    """One row for each question of each paper (id, text, format, year): id, year, position (from 0), total, the question's columns and its subject.
 
+    Unknown formats are read as 'standard'. Noise of the pages goes first. A paper is one row from its text to its questions, so nothing is shuffled.
+    """
+    clean = papers.select("id", "year", F.col(fmt).alias("format"), without_noise(F.col(text)).alias("text"))
+    found = paper(F.col("text"), "standard", compat)
+    for kind in FORMATS[1:]:
+        found = F.when(F.col("format") == kind, paper(F.col("text"), kind, compat)).otherwise(found)
+    # the outer form keeps Spark from working the questions out once more to filter papers that have none
+    each = clean.select("id", "year", found.alias("found")).select("id", "year", F.size("found").alias("total"), F.posexplode_outer("found").alias("position", "q"))
+    return each.where("q IS NOT NULL").select("id", "year", "position", "total", "q.*").withColumn("subject", subject_of(F.col("question"), F.col("position"), F.col("total")))
 
-_MARK = re.compile(r"\$\$|\$|\*\*")
 
+_ITEM_STARTS = r"(?=\(\s*(?:[a-hA-H]|[ivxIVX]{1,4})\s*\))|(?<!\S)(?=(?:[a-hA-H]|[0-9]{1,2}|[ivxIVX]{1,4})\.(?:\s|$))"
+_FIRST_KIND, _SECOND_KIND = (rf"^(?:\(\s*{x}\s*\)|{y}\.(?:\s|$))" for x, y in (("[a-hA-H]", "(?:[a-hA-H]|[0-9]{1,2})"), ("[ivxIVX]{1,4}", "[ivxIVX]{1,4}")))
 
-def safe_boundary(text: str | None) -> int:
-    """Length of the longest prefix that leaves no ``$$``, ``$`` or ``**`` open; what stands between two marks opens nothing."""
-    text, at = text or "", 0
-    while opened := _MARK.search(text, at):
-        closed = text.find(opened[0], opened.end())
-        if closed < 0:
-            return opened.start()
-        at = closed + len(opened[0])
-    return len(text)
 
+def _before(text: Column, pattern: str, start: Column | int = 1) -> tuple[Column, Column]:
+    """``text`` before the first match of ``pattern`` at or after ``start``, and stripped from it on (empty without a match)."""
+    rest = F.substring(text, start, F.length(text)) if not isinstance(start, int) else text
+    at = F.regexp_instr(rest, F.lit(pattern)) + (start - 1 if not isinstance(start, int) else 0)
+    some = F.regexp_instr(rest, F.lit(pattern)) > 0
+    return F.when(some, F.substring(text, F.lit(1), at - 1)).otherwise(text), F.when(some, strip(F.substring(text, at, F.length(text)))).otherwise("")
 
-def _column(fn, schema: str):
-    names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [fn(t) or {} for t in texts]
-        return pd.DataFrame({c: pd.Series([x.get(c) for x in found], dtype=object) for c in names})
+def split_lists(df: DataFrame, text: str = "question") -> DataFrame:
+    """Adds lists: (preamble, items_1, items_2, trailer) of a match-the-lists question; null fields for other texts.
 
-    return F.pandas_udf(run, schema)
+    The items begin behind the last header of list I that a header of list II follows at some distance: both lists may have their headers in front, or each before its own items.
+    Letters and numbers belong to list I, roman numerals to list II, in whatever order they come. A header that is
+    left at an item's end goes; a closing request ("choose ...") is the trailer. Lists of different lengths give nulls.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    one, two = (fixed.LIST_HEADER.replace("(I{1,2})", x) for x in ("I", "II"))
+    last = r"(?s)^(.*)" + one.replace("(list|column)", "(?:list|column)") + "(.*)$"
+    parts = df.withColumn("_head", F.regexp_extract(whole, _unicode(last), 1)).withColumn("_body", F.regexp_extract(whole, _unicode(last), 2))
+    some = whole.rlike(_unicode(one)) & F.col("_body").rlike(_unicode(two))
+    body, trailer = _before(F.col("_body"), _unicode(fixed.LIST_TRAILER))
 
+    def items(kind: str) -> Column:
+        cleaned = F.transform(F.filter(F.split(body, _unicode(_ITEM_STARTS)), lambda x: x.rlike(_unicode(kind))), lambda x: strip(F.regexp_replace(strip(x), _unicode(fixed.LIST_REPEATED_HEADER), "")))
+        return F.filter(cleaned, lambda x: x != "")
 
-def split_lists(df: DataFrame, text: str = "question") -> DataFrame:
-    """Adds lists: the parts of a match-the-lists question; its fields are null for other texts."""
-    schema = "preamble string, items_1 array<string>, items_2 array<string>, trailer string"
-    return df.withColumn("lists", _column(match_lists, schema)(F.col(text)))
+    parts = parts.withColumns({"_first": items(_FIRST_KIND), "_second": items(_SECOND_KIND), "_trailer": trailer})
+    fit = some & (F.size("_first") > 0) & (F.size("_first") == F.size("_second"))
+    fields = {"preamble": strip(F.col("_head")), "items_1": F.col("_first"), "items_2": F.col("_second"), "trailer": F.col("_trailer")}
+    return parts.withColumn("lists", F.struct(*[F.when(fit, c).alias(k) for k, c in fields.items()])).drop("_head", "_body", "_first", "_second", "_trailer")
 
 
 def split_statements(df: DataFrame, text: str = "question") -> DataFrame:
-    """Adds statements: the parts of an assertion-and-reason question; its fields are null for other texts."""
-    return df.withColumn("statements", _column(statements, "intro string, parts array<string>, trailer string")(F.col(text)))
+    """Adds statements: (intro, parts, trailer) of an assertion-and-reason question; null fields with fewer than two different labels.
+
+    Of a label that repeats, the last one begins a part; the earlier ones stay in what stands before.
+    """
+    # a pattern that looks ahead splits before each label and takes nothing away
+    pieces = F.split(F.coalesce(F.col(text), F.lit("")), _unicode(f"(?={fixed.STATEMENT_LABEL})"))
+    label = lambda x: F.regexp_replace(F.lower(F.regexp_extract(x, _unicode("^" + fixed.STATEMENT_LABEL), 0)), "[^a-z0-9]", "")
+    split = df.withColumn("_pieces", pieces).withColumn("_labels", F.transform("_pieces", label))
+    last = F.filter(F.sequence(F.lit(1), F.size("_pieces")), lambda i: (F.element_at("_labels", i) != "") & (F.array_position(F.slice("_labels", i + 1, F.size("_labels")), F.element_at("_labels", i)) == 0))
+    split = split.withColumn("_last", last)
+    joined = lambda a, b: F.array_join(F.slice("_pieces", a, b - a), "")
+    ends = F.concat(F.slice("_last", 2, F.size("_pieces")), F.array(F.size("_pieces") + 1))
+    parts = F.transform("_last", lambda a, i: joined(a, F.get(ends, i)))
+    split = split.withColumn("_parts", F.when(F.size("_last") >= 2, parts))
+    final = F.element_at("_parts", -1)
+    body, trailer = _before(final, _unicode(fixed.STATEMENT_TRAILER), F.length(F.regexp_extract(final, _unicode("^" + fixed.STATEMENT_LABEL), 0)) + 1)
+    all_parts = F.transform(F.concat(F.slice("_parts", F.lit(1), F.size("_parts") - 1), F.array(body)), strip)
+    some = F.col("_parts").isNotNull()
+    fields = {"intro": strip(joined(F.lit(1), F.get("_last", F.lit(0)))), "parts": all_parts, "trailer": trailer}
+    return split.withColumn("statements", F.struct(*[F.when(some, c).alias(k) for k, c in fields.items()])).drop("_pieces", "_labels", "_last", "_parts")
+
+
+#: Plain characters and closed marks, as many as there are, without going back.
+_SAFE = r"(?s)^(?:[^$*]++|\$\$.*?\$\$|\$(?!\$)[^$]*+\$|\*\*.*?\*\*|\*(?!\*))*+"
 
 
 def with_boundary(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("boundary", F.pandas_udf(lambda s: s.map(safe_boundary).astype("int32"), "int")(F.col(text)))
+    """Adds boundary: length of the longest prefix that leaves no ``$$``, ``$`` or ``**`` open; what stands between two marks opens nothing."""
+    return df.withColumn("boundary", F.length(F.regexp_extract(F.coalesce(F.col(text), F.lit("")), _SAFE, 0)))

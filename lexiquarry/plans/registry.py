@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import papers
 from . import queries as q
 
 
@@ -14,8 +15,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(q.QUERIES)
+    return q.QUERIES | papers.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(q.ORACLES)
+    return q.ORACLES | papers.ORACLES

@@ -169,23 +169,49 @@ Ans. [c]
 """
 
 
-def test_standard_papers():
-    got = list(parse.parse(STANDARD, "standard"))
+def papers(spark, text, fmt, compat=False):
+    df = spark.createDataFrame([(1, 2020, fmt, text)], "id int, year int, format string, text string")
+    columns = ["number", "question", "option_a", "option_b", "option_c", "option_d", "correct_answer"]
+    return [tuple(r) for r in parse.questions(df, compat).orderBy("position").select(*columns).collect()]
+
+
+def test_standard_papers(spark):
+    got = papers(spark, STANDARD, "standard")
     assert got == [
         (1, "What is the name of the largest organ?", "skin", "liver is big", "", "", "1"),
         (3, "Which of these letters is the one without options and goes on?", "first", "second", "", "", "c"),
     ]
 
 
-def test_other_papers():
+def test_other_papers(spark):
     sol = "\n\n1. The transcription of genes means a lot\nwhat is it?\n(1) x\n(2) y\nAnswer: (2)\nSol. because\n\n2. Another question that is long enough\n"
-    assert [q[1:] for q in parse.parse(sol, "sol")] == [("The transcription of genes means a lot what is it?", "x", "y", "", "", "2"), ("Another question that is long enough", "", "", "", "", "")]
-    assert next(parse.parse(sol, "sol", compat=True))[1:2] != ("The transcription of genes means a lot what is it?",)
+    assert [q[1:] for q in papers(spark, sol, "sol")] == [("The transcription of genes means a lot what is it?", "x", "y", "", "", "2"), ("Another question that is long enough", "", "", "", "", "")]
+    assert papers(spark, sol, "sol", compat=True)[0][1] != "The transcription of genes means a lot what is it?"
     q = "\nQ.1 What is shown by the picture above?\n(1) a cat\n(3) a dog\nAns. [3]\nSol. x\nQ.2 short\n"
-    assert list(parse.parse(q, "q_format")) == [(1, "What is shown by the picture above?", "a cat", "", "a dog", "", "c")]
+    assert papers(spark, q, "q_format") == [(1, "What is shown by the picture above?", "a cat", "", "a dog", "", "c")]
     inline = "\n1. Which word is it, and what does it\nAns: B\ntell the reader?\na. one\nb. two\nmore\nb.x\n2. No options in this long question here\n"
-    assert list(parse.parse(inline, "abcd_inline")) == [(1, "Which word is it, and what does it tell the reader?", "one", "two more", "", "", "b")]
-    assert list(parse.parse(None, "standard")) == []
+    assert papers(spark, inline, "abcd_inline") == [(1, "Which word is it, and what does it tell the reader?", "one", "two more", "", "", "b")]
+    assert papers(spark, None, "standard") == [] == papers(spark, "", "sol")
+
+
+def test_numbers_beyond_all_ranges(spark):
+    text = "{}. This is a question of some length\n(1) x"
+    assert [q[0] for n in ("99999999999", "9" * 30) for q in papers(spark, text.format(n), "sol")] == [99999999999, None]
+    assert papers(spark, text.format(0), "standard") == papers(spark, text.format(201), "abcd_inline") == papers(spark, text.format("9" * 30), "standard") == []
+    assert len(papers(spark, text.format(200), "standard")) == 1
+
+
+def test_papers_with_odd_white_space_and_a_very_long_question(spark):
+    long = "1. \u2003How\u00a0long is this?\r\n" + "and so on\n" * 5000 + "\u00a0(1)\u2003one\u00a0\n\x0bgoes on\n"
+    ((n, question, a, *_),) = papers(spark, long, "standard")
+    assert n == 1 and question == "How long is this?" + " and so on" * 5000 and a == "one goes on"
+
+
+def test_parsing_needs_no_python(spark):
+    df = spark.createDataFrame([(1, 2020, "sol", "x")], "id int, year int, format string, text string")
+    for out in (parse.questions(df), parse.split_lists(df, "text"), parse.split_statements(df, "text"), parse.with_boundary(df)):
+        plan = out._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
 def test_questions_get_subjects(spark):
@@ -194,19 +220,33 @@ def test_questions_get_subjects(spark):
     assert [(r.position, r.total, r.subject) for r in got] == [(0, 2, "Biology"), (1, 2, "Chemistry")]
 
 
-def test_list_questions():
+def lists(spark, text):
+    got = parse.split_lists(spark.createDataFrame([(text, 1)], "question string, n int")).first().lists.asDict()
+    return got if any(v is not None for v in got.values()) else None
+
+
+def parts_of(spark, text):
+    got = parse.split_statements(spark.createDataFrame([(text, 1)], "question string, n int")).first().statements.asDict()
+    return got if any(v is not None for v in got.values()) else None
+
+
+def test_list_questions(spark):
     both = "Match List I with List II. List-I List-II (A) M phase (I) Proteins (B) G2 (II) Rest; List-II: Choose the correct answer"
-    assert parse.match_lists(both) == {"preamble": "Match List I with List II.", "items_1": ["(A) M phase", "(B) G2"], "items_2": ["(I) Proteins", "(II) Rest"], "trailer": "Choose the correct answer"}
-    assert parse.match_lists("List I List II A. one B. two (i) x (ii) y")["items_2"] == ["(i) x", "(ii) y"]
-    assert parse.match_lists("List I List II (A) one (B) two (I) x") is None
-    assert parse.match_lists("List I only") is None and parse.match_lists(None) is None
+    assert lists(spark, both) == {"preamble": "Match List I with List II.", "items_1": ["(A) M phase", "(B) G2"], "items_2": ["(I) Proteins", "(II) Rest"], "trailer": "Choose the correct answer"}
+    assert lists(spark, "List I List II A. one B. two (i) x (ii) y")["items_2"] == ["(i) x", "(ii) y"]
+    assert lists(spark, "List I List II (A) one (B) two (I) x") is None
+    assert lists(spark, "List I only") is None and lists(spark, None) is None and lists(spark, "") is None
+    # one list after the other, each behind its own header
+    assert lists(spark, "List I (A) aa (B) bb List II (I) cc (II) dd Choose one") == {"preamble": "", "items_1": ["(A) aa", "(B) bb"], "items_2": ["(I) cc", "(II) dd"], "trailer": "Choose one"}
+    assert lists(spark, "Match: Column I 1. aa 2. bb; Column II [kinds]: i. cc ii. dd") == {"preamble": "Match:", "items_1": ["1. aa", "2. bb"], "items_2": ["i. cc", "ii. dd"], "trailer": ""}
     ar = "Given are two: one is Assertion (A): the other Reason (R): Assertion (A): cells live. Reason (R): they eat. In the light of this, choose"
-    assert parse.statements(ar) == {"intro": "Given are two: one is Assertion (A): the other Reason (R):", "parts": ["Assertion (A): cells live.", "Reason (R): they eat."], "trailer": "In the light of this, choose"}
-    assert parse.statements("Assertion (A): alone") is None and parse.statements(None) is None
+    assert parts_of(spark, ar) == {"intro": "Given are two: one is Assertion (A): the other Reason (R):", "parts": ["Assertion (A): cells live.", "Reason (R): they eat."], "trailer": "In the light of this, choose"}
+    assert parts_of(spark, "Assertion (A): alone") is None and parts_of(spark, None) is None
+    assert parts_of(spark, "Statement I: choose x. Statement II: y") == {"intro": "", "parts": ["Statement I: choose x.", "Statement II: y"], "trailer": ""}
 
 
 @pytest.mark.parametrize(("s", "n"), [("", 0), ("abc", 3), ("a $x", 2), ("a $x$ b", 7), ("a **b", 2), ("$$x$$", 5), ("$$x$", 0), ("$a$$b$", 6), ("**a $b** c", 10), ("$a**b$", 6), (None, 0)])
-def test_safe_boundary(s, n):
+def test_safe_boundary(spark, s, n):
     def reference(t):
         i = safe = 0
         on = {"$$": False, "$": False, "**": False}
@@ -222,7 +262,7 @@ def test_safe_boundary(s, n):
                 safe = i
         return safe
 
-    assert parse.safe_boundary(s) == n == reference(s or "")
+    assert parse.with_boundary(spark.createDataFrame([(s,)], "text string")).first().boundary == n == reference(s or "")
 
 
 def test_pages_in_reading_order(spark):
