@@ -639,19 +639,40 @@ def a13_reading_order(spark, sf):
     return layout.pages(blocks)
 
 
-@query()
+_CALLS = "calls AS (SELECT event_id AS id, user_id, event_type, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {keys} ORDER BY ts, event_id) AS i FROM events)"
+
+
+def _limit_sql(keys: tuple[str, ...], names: tuple[str, ...], most: int, seconds: int) -> str:
+    """A recursion from call to call of all keys at once; the state is the list of admitted times."""
+    own, renamed = ", ".join(keys), ", ".join(f"{k} AS {n}" for k, n in zip(keys, names))
+    return f"""WITH RECURSIVE {_CALLS.format(keys=own)},
+w AS (SELECT id, {own}, i, true AS admitted, [t] AS recent FROM calls WHERE i = 1
+UNION ALL SELECT id, {own}, i, len(kept) < {most}, CASE WHEN len(kept) < {most} THEN list_append(kept, t) ELSE kept END
+  FROM (SELECT calls.*, list_filter(w.recent, lambda x: calls.t - x < {seconds * 1_000_000}) AS kept FROM w JOIN calls USING ({own}) WHERE calls.i = w.i + 1))
+SELECT id, {renamed}, admitted FROM w"""
+
+
+_LOCK_SQL = f"""WITH RECURSIVE {_CALLS.format(keys='user_id')}, start AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS id, NULL::VARCHAR AS outcome, 0 AS failures, 0::BIGINT AS until FROM calls),
+w AS (SELECT user_id, i, id, outcome, failures, until FROM start
+UNION ALL SELECT user_id, i, id, outcome, CASE WHEN outcome = 'blocked' THEN failures WHEN outcome = 'ok' OR failures + 1 >= 2 THEN 0 ELSE failures + 1 END,
+  CASE WHEN outcome = 'blocked' THEN until WHEN outcome = 'ok' THEN 0 WHEN failures + 1 >= 2 THEN t + 86400000000 ELSE until END
+  FROM (SELECT user_id, calls.i, calls.id, calls.t, failures, until, CASE WHEN until > t THEN 'blocked' WHEN event_type <> 'error' THEN 'ok' ELSE 'failed' END AS outcome FROM w JOIN calls USING (user_id) WHERE calls.i = w.i + 1))
+SELECT w.id, user_id AS address, event_type <> 'error' AS ok, outcome FROM w JOIN calls USING (user_id, i) WHERE w.i > 0"""
+
+
+@query(_limit_sql(("user_id", "event_type"), ("address", "path"), 2, 86400))
 def g1_rate_limit(spark, sf):
     e = files.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("address"), F.col("event_type").alias("path"), "ts")
-    return limits.rate_limited(e, 2, 86400.0)
+    return limits.rate_limited(e, 2, 86400.0).drop("ts")
 
 
-@query()
+@query(_limit_sql(("user_id",), ("phone",), 3, 86400))
 def g2_phone_limit(spark, sf):
     e = files.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("phone"), "ts")
-    return limits.rate_limited(e, 3, 86400.0, keys=("phone",))
+    return limits.rate_limited(e, 3, 86400.0, keys=("phone",)).drop("ts")
 
 
-@query()
+@query(_LOCK_SQL)
 def g3_lockout(spark, sf):
     e = files.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("address"), "ts", (F.col("event_type") != "error").alias("ok"))
-    return limits.lockouts(e, attempts=2, block=86400.0)
+    return limits.lockouts(e, attempts=2, block=86400.0).drop("ts")
