@@ -14,8 +14,10 @@ from . import runtime
 from .hashing import anchors, words_of, word_hashes
 
 WINDOW = 50
-#: Words of a phrase that an automaton looks for; each window of WINDOW words selects one.
+#: Words of a phrase that an automaton looks for. Phrases are taken from a document every WINDOW - PHRASE + 1 words, so each of its windows holds one.
 PHRASE = 8
+#: Phrases of an automaton at most.
+SHARD = 1 << 16
 _RUN = 1 << 20
 
 
@@ -39,7 +41,7 @@ class _Words:
 
 
 class Automaton:
-    """Aho-Corasick automaton of phrases, as sequences of word hashes.
+    """Aho-Corasick automaton of phrases, as rows of word hashes.
 
     Words of the phrases get numbers, all others share the number 0; a number is written in digits of 64 symbols, with symbols of
     its own for each place, so nodes have few children and matches begin at words.
@@ -72,6 +74,14 @@ class Automaton:
         return out
 
 
+def found_in(words: np.ndarray, phrases: np.ndarray, finder: type[Automaton]) -> np.ndarray:
+    """Whether one of ``phrases`` (rows) begins at each of ``words``: these are streamed through automata of at most SHARD phrases each."""
+    out = np.zeros(len(words), bool)
+    for a in range(0, len(phrases), SHARD):
+        out |= finder(phrases[a : a + SHARD]).occurrences(words)
+    return out
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, finder: type[Automaton] = Automaton) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, spans (word ranges removed), kept (the other words, joined by a blank).
 
@@ -80,16 +90,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, finder:
     input. Null texts have no words; null doc_ids are the smallest; rows that share a doc_id never
     remove words from each other; texts of fewer words than a window stay whole.
 
-    Every window selects its least phrase, and phrases selected in two documents or more are confirmed. The confirmed
-    phrases are dealt to the blocks of documents that selected them, each of which compiles its share into an Aho-Corasick automaton
-    and streams its documents through it: the windows whose phrase the automaton finds where they selected it are the occurrences. (Shards by
-    phrase would each have to stream all documents, which grows with the square of the corpus; a shard by block is
-    bounded by its block, and every document is streamed once.) Equal regions of windows collapse to the one of
-    the least doc_id; windows of phrases with several different regions are compared one by one in an aggregate.
+    First recurring passages are confirmed: windows go by their least phrase, those of phrases that two documents or more have form regions,
+    equal regions collapse to the one of the least doc_id, and windows of phrases with several different regions are compared one by one in
+    an aggregate. Then the documents in which confirmed passages begin are cut: every ``window - phrase + 1`` words they
+    give a phrase, by place and not by content. These are dealt to the blocks of documents that hold the passage, each of which
+    compiles them into Aho-Corasick automata of bounded size and streams all its words through. Only confirmed windows that
+    hold a phrase which an automaton found, wherever it found it, are removed. (Shards by phrase would each have to stream all
+    documents, which grows with the square of the corpus; a block only streams itself, through the phrases of its own passages.)
     """
     if not phrase < window <= phrase + 63:
         raise ValueError("a phrase must be shorter than the window, by 63 words at most")
-    packed = B.pack(docs)
+    packed, stride = B.pack(docs), window - phrase + 1
 
     def ask(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         s = _Words(table, window, phrase)
@@ -102,11 +113,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, finder:
 
     def regions(block: int, table: pa.Table, got: pa.Array) -> Iterator[pa.RecordBatch]:
         s = _Words(table, window, phrase)
-        h, at, *_ = s.found
-        keys, one = np.unique(h, return_index=True)
-        dealt = one[np.isin(keys, got.to_numpy().view(np.uint64))]
-        hit = finder(s.words[at[dealt][:, None] + np.arange(phrase)]).occurrences(s.words)[at]
-        yield R.Regions(s.words, window, s.found, hit, s.ids, s.offset, places=False).rows(block)
+        yield R.Regions(s.words, window, s.found, np.isin(s.found[0], got.to_numpy().view(np.uint64)), s.ids, s.offset, places=False).rows(block)
 
     def cut(table: pa.Table, starts: np.ndarray, windows: np.ndarray) -> pa.ListArray:
         words = _Words(table, window, phrase, select=False).words
@@ -120,14 +127,35 @@ def repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, finder:
     found, first = R.firsts(packed, ask, regions, documents=True)
     leads = R.leads(packed, found, first, cut, "ws array<bigint>")
     bits = runtime.materialise(R.by_windows(leads, places=False), "bits", settle=True)
-    told = R.answers(found, first, bits)
-    runtime.discard(found, first, leads, bits)
+
+    def strided(table: pa.Table, starts: np.ndarray, windows: np.ndarray) -> pa.Array:
+        """The phrases of the windows that begin at ``starts``, by their documents' places; words as halves of their hashes."""
+        s = _Words(table, window, phrase, select=False)
+        begin = s.offset[np.searchsorted(s.offset, starts, "right") - 1]
+        low, high = -(-(starts - begin) // stride), (starts - begin + windows - 1 + stride - 1) // stride
+        n = high - low + 1
+        at = np.repeat(begin + low * stride, n) + stride * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        data = s.words[at[:, None] + np.arange(phrase)].astype("<u4").tobytes()
+        ends = np.concatenate(([0], np.cumsum(n))) * phrase * 4
+        return pa.array([data[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
+
+    confirmed = R.told(found, first, bits)
+    wanted = first.select("h", "r", "block", "idx").join(confirmed.select("h", "r").distinct(), ["h", "r"])
+    dealt = R.cut_out(packed, found, wanted, ("h", "r"), strided, "phrases binary", "phrases")
+    told = R.answers(found, confirmed.join(dealt, ["h", "r"]), ("phrases",))
+    runtime.discard(found, first, leads, bits, dealt)
 
     def apply(_: int, table: pa.Table, scan: bytes | None, got: pa.StructArray | None) -> Iterator[pa.RecordBatch]:
         ids, texts = B.texts(table)
         split = [t.split() for t in texts]
         offset = np.concatenate(([0], np.cumsum([len(x) for x in split]))).astype(np.int64)
-        starts = np.flatnonzero(R.repeated(scan, got, ids, offset, places=False))
+        own = R.repeated(scan, got, ids, offset, places=False)
+        if got is not None:
+            phrases = np.frombuffer(b"".join(got.field("phrases").to_pylist()), "<u4").reshape(-1, phrase)
+            matches = found_in(_Words(table, window, phrase, select=False).words.astype("<u4"), np.unique(phrases, axis=0), finder)
+            before = np.concatenate(([0], np.cumsum(matches), np.full(stride, matches.sum())))
+            own[: len(matches)] &= before[stride : stride + len(matches)] > before[: len(matches)]
+        starts = np.flatnonzero(own)
         # words covered by a repeated window; windows stay within their documents
         edge = np.zeros(int(offset[-1]) + window + 1, np.int64)
         np.add.at(edge, starts, 1)

@@ -115,16 +115,21 @@ def several(first: DataFrame) -> DataFrame:
     return first.join(first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "h")
 
 
-def leads(packed: DataFrame, found: DataFrame, first: DataFrame, cut, more: str) -> DataFrame:
-    """(h, r, doc, pos, n, ...), written: ``several`` regions with the column that cut(table, starts, windows) takes from their block."""
-    wanted = several(first).groupBy("block").agg(F.collect_list(F.struct("idx", "h", "r", "doc", "pos", "n")).alias("wanted"))
+def cut_out(packed: DataFrame, found: DataFrame, regions: DataFrame, carry: tuple[str, ...], cut, more: str, name: str) -> DataFrame:
+    """(carry..., more), written: ``regions`` (block, idx, carry...) with the column that cut(table, starts, windows) takes from their block."""
+    wanted = regions.groupBy("block").agg(F.collect_list(F.struct("idx", *carry)).alias("wanted"))
 
     def run(_: int, table: pa.Table, scan: bytes, got: pa.StructArray):
         column = cut(table, *first_of(scan, got.field("idx").to_numpy()))
-        yield pa.RecordBatch.from_pydict({c: got.field(c) for c in ("h", "r", "doc", "pos", "n")} | {more.split()[0]: column})
+        yield pa.RecordBatch.from_pydict({c: got.field(c) for c in carry} | {more.split()[0]: column})
 
     own = found.where("idx < 0").select("block", "scan").join(wanted, "block")
-    return runtime.materialise(with_blocks(packed, own, run, f"h long, r long, doc long, pos long, n long, {more}", "inner"), "leads", settle=True)
+    return runtime.materialise(with_blocks(packed, own, run, ", ".join(f"{c} long" for c in carry) + f", {more}", "inner"), name, settle=True)
+
+
+def leads(packed: DataFrame, found: DataFrame, first: DataFrame, cut, more: str) -> DataFrame:
+    """(h, r, doc, pos, n, ...), written: ``several`` regions with the column that cut(table, starts, windows) takes from their block."""
+    return cut_out(packed, found, several(first), ("h", "r", "doc", "pos", "n"), cut, more, "leads")
 
 
 def by_windows(leads: DataFrame, places: bool) -> DataFrame:
@@ -139,12 +144,16 @@ def by_windows(leads: DataFrame, places: bool) -> DataFrame:
     return later.groupBy("h", "r").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits"))
 
 
-def answers(found: DataFrame, first: DataFrame, bits: DataFrame) -> DataFrame:
-    """(block, scan, got), written: what each block has to know of its regions: where a region's first place is, and which windows of that start earlier."""
+def told(found: DataFrame, first: DataFrame, bits: DataFrame) -> DataFrame:
+    """(block, idx, h, r, doc, pos, bits): what each block has to know of its regions: where a region's first place is, and which windows of that start earlier."""
     known = first.select("h", "r", "doc", "pos").join(bits, ["h", "r"], "left").select("h", "r", "doc", "pos", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     own = found.where("idx >= 0").select("block", "idx", "h", "r", F.struct(F.col("last_doc").alias("doc"), F.col("last_pos").alias("pos")).alias("last"))
-    told = own.join(known, ["h", "r"]).where((F.col("last") > F.struct("doc", "pos")) | (F.col("bits") != 0))
-    got = told.groupBy("block").agg(F.collect_list(F.struct("idx", "doc", "pos", "bits")).alias("got"))
+    return own.join(known, ["h", "r"]).where((F.col("last") > F.struct("doc", "pos")) | (F.col("bits") != 0)).select("block", "idx", "h", "r", "doc", "pos", "bits")
+
+
+def answers(found: DataFrame, told_: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(block, scan, got), written: ``told`` (and the columns ``more``) by block."""
+    got = told_.groupBy("block").agg(F.collect_list(F.struct("idx", "doc", "pos", "bits", *more)).alias("got"))
     return runtime.materialise(found.where("idx < 0").select("block", "scan").join(got, "block"), "answers", settle=True)
 
 

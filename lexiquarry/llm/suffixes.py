@@ -213,7 +213,7 @@ def repeats(docs: DataFrame, length: int = MIN_BYTES, keep: tuple[str, ...] = ()
 
     hot = every.where(F.col("n") > HOT_REGIONS).select("h", "r", "doc", "pos", "text").mapInArrow(hashed, "h long, r long, doc long, pos long, ws array<bigint>")
     settled = runtime.materialise(R.by_windows(hot, places=True), "hot", settle=True)
-    told = R.answers(found, first, bits.unionByName(settled))
+    told = R.answers(found, R.told(found, first, bits.unionByName(settled)))
     runtime.discard(found, first, every, settled)
     index.discard()
     order = [c for c in keep if c != "doc_id"]

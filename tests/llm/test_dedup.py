@@ -134,6 +134,34 @@ def test_occurrences_come_from_the_automaton(spark):
     assert sum(r.n_removed for r in phrases.repeats(rows, finder=Blind).collect()) == 0
 
 
+def test_phrases_of_other_documents_are_found_at_any_word(spark):
+    passage = [f"p{j}" for j in range(900)]
+    texts = [" ".join([f"{k}x{j}" for j in range(11 * k)] + passage + [f"{k}y{j}" for j in range(9)]) for k in range(4)]
+    begins = np.cumsum([0, *[len(t.split()) for t in texts]])
+
+    class Own(phrases.Automaton):
+        """Knows a phrase only where a document would select it itself."""
+
+        def occurrences(self, words):
+            at = np.arange(len(words))
+            return super().occurrences(words) & ((at - begins[np.searchsorted(begins, at, "right") - 1]) % 43 == 0)
+
+    rows = frame(spark, list(enumerate(texts))).coalesce(1)
+    assert {r.doc_id: r.n_removed for r in phrases.repeats(rows).collect()} == {0: 0, 1: 900, 2: 900, 3: 900}
+    # at the passage's ends regions differ, and there the phrases are a document's own
+    assert all(r.n_removed < 400 for r in phrases.repeats(rows, finder=Own).collect())
+
+
+def test_phrases_in_many_small_automata(spark, corpus, docs, monkeypatch):
+    whole = sorted((r.doc_id or -1, r.n_removed, r.kept) for r in phrases.repeats(docs).collect())
+    words = np.concatenate([np.arange(40), np.arange(30)]).astype("<u4")
+    some = np.lib.stride_tricks.sliding_window_view(words, 8)[::9]
+    want = phrases.found_in(words, some, phrases.Automaton)
+    monkeypatch.setattr(phrases, "SHARD", 2)
+    assert (phrases.found_in(words, some, phrases.Automaton) == want).all() and want.sum() > len(some)
+    assert sum(n for _, n, _ in whole) > 0
+
+
 def test_automaton_finds_every_occurrence_across_runs(monkeypatch):
     monkeypatch.setattr(phrases, "_RUN", 64)
     rng = np.random.default_rng(4)
