@@ -46,8 +46,8 @@ def words(c: Column) -> Column:
 def token_set(c: Column, stopwords: Sequence[str] = fixed.STOPWORDS) -> Column:
     """Distinct lower-case [a-z0-9] words of more than one character that are no stop word."""
     parts = F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), " ")
-    stop = F.array(*[F.lit(w) for w in stopwords])
-    return F.array_distinct(F.filter(parts, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)))
+    # array_except() keeps each word once
+    return F.array_except(F.filter(parts, lambda w: F.length(w) > 1), F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.expr("cast(array() as array<string>)"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

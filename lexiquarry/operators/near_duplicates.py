@@ -1,7 +1,8 @@
-"""Exact set-similarity pairs by prefix filtering."""
+"""Exact set-similarity pairs by prefix, position and size filtering."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,39 +11,65 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import token_set
 
+_EPS = 1e-9
+
+
+def _classes(df: DataFrame, text: Column, id: str, group: str, stopwords: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(members: g, class, id) of all rows with tokens, and (g, class, n, s): each class's token numbers from the rarest token of its group to the most frequent."""
+    rows = df.select(F.col(group).alias("g"), F.col(id).alias("id"), F.array_sort(token_set(text, stopwords)).alias("tokens")).where((F.size("tokens") > 0) & F.col(group).isNotNull())
+    members = rows.select("g", F.md5(F.array_join("tokens", " ")).alias("class"), "id")
+    sets = rows.select("g", F.md5(F.array_join("tokens", " ")).alias("class"), "tokens").groupBy("g", "class").agg(F.first("tokens").alias("tokens"))
+    each = sets.select("g", "class", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    frequency = each.groupBy("g", "token").agg(F.count("*").alias("df"))
+    # a hash stands for the token; frequency, then hash, orders them
+    ordered = each.join(frequency, ["g", "token"]).groupBy("g", "class", "n").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("t")))).alias("s"))
+    return members, ordered.select("g", "class", "n", F.transform("s", lambda x: x["t"]).alias("s"))
+
+
+def _alike(sets: DataFrame, threshold: float) -> DataFrame:
+    """(g, a, b, shared, n_a, n_b) of different classes at the threshold."""
+    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(_EPS)) + 1
+    # sizes of a pair lie in one band or in two that adjoin, so a token that very many sets have is met band by band
+    band = F.floor(F.log(F.col("n")) / F.lit(-math.log(threshold)) + F.lit(_EPS)) if threshold < 1 else F.col("n")
+    heads = sets.select("g", "class", "n", band.cast("long").alias("band"), F.posexplode(F.slice("s", F.lit(1), keep.cast("int"))).alias("i", "t"))
+    a = heads.select("g", "t", "band", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("i").alias("i_a"))
+    reach = F.array("band", F.col("band") - 1) if threshold < 1 else F.array("band")
+    b = heads.select("g", "t", F.explode(reach).alias("band"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"))
+    first = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))
+    fits = F.col("n_a") >= F.col("n_b") * F.lit(threshold) - F.lit(_EPS)
+    least = (F.col("n_a") + F.col("n_b")) * F.lit(threshold / (1 + threshold)) - F.lit(_EPS)
+    met = a.join(b, ["g", "t", "band"]).where(first & fits & (1 + F.least(F.col("n_a") - F.col("i_a") - 1, F.col("n_b") - F.col("i_b") - 1) >= least))
+    # all common tokens that both heads hold are counted; any other comes behind the last of them in both sets
+    counted = met.groupBy("g", "a", "b", "n_a", "n_b").agg(F.count("*").alias("met"), F.max("i_a").alias("i_a"), F.max("i_b").alias("i_b"))
+    candidates = counted.where(F.col("met") + F.least(F.col("n_a") - F.col("i_a") - 1, F.col("n_b") - F.col("i_b") - 1) >= least).select("g", "a", "b", "n_a", "n_b")
+    whole = sets.select("g", "class", "s")
+    full = candidates.join(whole.select("g", F.col("class").alias("a"), F.col("s").alias("s_a")), ["g", "a"]).join(whole.select("g", F.col("class").alias("b"), F.col("s").alias("s_b")), ["g", "b"])
+    return full.select("g", "a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("shared"), "n_a", "n_b").where(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")) >= threshold)
+
 
 def pairs(df: DataFrame, text: Column, threshold: float = 0.5, id: str = "id", group: str = "subject", dismissed: DataFrame | None = None, stopwords: Sequence[str] = fixed.STOPWORDS) -> DataFrame:
     """Pairs (id_a < id_b) of a group whose token sets have a Jaccard similarity of the threshold or more.
 
-    Returns group, id_a, id_b, overlap (three decimals), exact (0.999 or more). Empty sets match nothing;
-    pairs of ``dismissed`` (id_a, id_b in any order) are left out.
+    Returns group, id_a, id_b, overlap (three decimals), exact (0.999 or more). Empty sets and null groups match nothing; rows that share an id are
+    compared each by itself with all others, and never with each other; pairs of ``dismissed`` (id_a, id_b in any order) are left out.
 
-    No pair at the threshold is lost: with tokens from the rarest to the most frequent, two sets of
-    x and y tokens that share t * (x + y) / (1 + t) of them share one among the first x - ceil(t * x) + 1 of
-    each. Only these prefixes are joined, on group and token, so a token that all rows have isn't joined on
-    unless a set consists of such tokens; sizes must fit as well, and what remains is counted on the
-    whole sets. Tokens are numbered by rank, so sets are compared as numbers.
+    Equal sets are one class, compared once. No pair at the threshold is lost: with tokens from the rarest to the most
+    frequent, two sets of x and y tokens that share t (x + y) / (1 + t) of them share one among the first x - ceil(t x) + 1 of
+    each. Only these heads are joined, by group, token and band of sizes; where a common token stands, and how many are met in the heads, bounds what can be
+    shared in all, and only pairs that can reach the threshold are counted on whole sets.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
-    sets = df.select(F.col(group).alias("g"), F.col(id).alias("id"), token_set(text, stopwords).alias("tokens")).where(F.size("tokens") > 0)
-    each = sets.select("g", "id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    # a hash stands for the token in the sets; frequency, then hash, orders them
-    frequency = each.groupBy("g", "token").agg(F.count("*").alias("df"))
-    ranked = each.join(frequency, ["g", "token"]).groupBy("g", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("t")))).alias("s"))
-    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
-    sorted_sets = ranked.select("g", "id", "n", F.slice(F.transform("s", lambda s: s["t"]), F.lit(1), keep.cast("int")).alias("prefix"), F.array_sort(F.transform("s", lambda s: s["t"])).alias("set"))
-    heads = sorted_sets.select("g", "id", "n", F.explode("prefix").alias("t"))
-    a, b = heads.alias("a"), heads.alias("b")
-    fits = F.least(F.col("a.n"), F.col("b.n")) >= F.greatest(F.col("a.n"), F.col("b.n")) * F.lit(threshold) - F.lit(1e-9)
-    candidates = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id")) & fits).select(F.col("a.g").alias("g"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    members, sets = _classes(df, text, id, group, stopwords)
+    similarity = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
+    unequal = _alike(sets, threshold).select("g", "a", "b", similarity.alias("similarity"))
+    left, right = members.select("g", F.col("class").alias("a"), F.col("id").alias("x")), members.select("g", F.col("class").alias("b"), F.col("id").alias("y"))
+    spread = unequal.join(left, ["g", "a"]).join(right, ["g", "b"]).where("x <> y").select("g", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
+    same = left.join(right.withColumnRenamed("b", "a"), ["g", "a"]).where("x < y").select("g", F.col("x").alias("id_a"), F.col("y").alias("id_b"), F.lit(1.0).alias("similarity"))
+    found = spread.unionByName(same)
     if dismissed is not None:
-        candidates = candidates.join(dismissed.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")), ["id_a", "id_b"], "left_anti")
-    left = sorted_sets.select(F.col("g"), F.col("id").alias("id_a"), F.col("set").alias("set_a"))
-    right = sorted_sets.select(F.col("g"), F.col("id").alias("id_b"), F.col("set").alias("set_b"))
-    full = candidates.join(left, ["g", "id_a"]).join(right, ["g", "id_b"]).withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
-    similarity = F.col("shared") / (F.size("set_a") + F.size("set_b") - F.col("shared"))
-    return full.withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select(F.col("g").alias(group), "id_a", "id_b", F.round("similarity", 3).alias("overlap"), (F.col("similarity") >= 0.999).alias("exact"))
+        found = found.join(dismissed.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")), ["id_a", "id_b"], "left_anti")
+    return found.select(F.col("g").alias(group), "id_a", "id_b", F.round("similarity", 3).alias("overlap"), (F.col("similarity") >= 0.999).alias("exact"))
 
 
 def ranked(found: DataFrame) -> DataFrame:

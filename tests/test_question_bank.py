@@ -465,3 +465,21 @@ def test_metering_survives_a_crash_without_counting_twice(spark, tmp_path):
     df.createOrReplaceTempView("posted")
     want = spark.sql("SELECT user_id, CAST(ts + INTERVAL 330 MINUTES AS DATE) AS usage_date, sum(tokens) AS tokens_used FROM posted WHERE tokens > 0 GROUP BY 1, 2")
     assert sorted(map(tuple, limits.metered(spark, ledger, "user_id").collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("threshold", [0.25, 0.5, 0.9])
+def test_pairs_of_repeated_ids_and_many_equal_sets(spark, threshold):
+    import random
+
+    rng = random.Random(8)
+    rows = [(1, "g", "aa bb"), (1, "g", "aa bb"), (2, "g", "bb aa"), (3, None, "aa bb"), (4, None, "aa bb")]
+    rows += [(i % 70, "h", " ".join(f"t{min(rng.randrange(9), rng.randrange(40))}" for _ in range(rng.choice((1, 2, 4, 8, 16, 32))))) for i in range(150)]
+    want = []
+    for k, (i, g, a) in enumerate(rows):
+        for j, h, b in rows[k + 1 :]:
+            x, y = set(a.split()), set(b.split())
+            if i != j and g == h and g and len(x & y) / len(x | y) >= threshold:
+                want.append((g, min(i, j), max(i, j), len(x & y) == len(x | y)))
+    df = spark.createDataFrame(rows, "id int, subject string, t string").repartition(3)
+    got = [(r.subject, r.id_a, r.id_b, r.exact) for r in near_duplicates.pairs(df, F.col("t"), threshold).collect()]
+    assert sorted(got) == sorted(want) and ("g", 1, 2, True) in got
