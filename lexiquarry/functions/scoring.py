@@ -56,3 +56,8 @@ def chances(score: Column, category: Column) -> Column:
 def trend_point(score: Column, index: Column, n: Column, width: float = 100.0, height: float = 100.0) -> Column:
     """Coordinates of a point of a trend line of n >= 2 points."""
     return F.struct((index / (n - 1) * width).alias("x"), (height - score / fixed.FULL_SCORE * height).alias("y"))
+
+
+def chart_point(score: Column, index: Column, n: Column, width: float = 880.0, height: float = 200.0, top: float = 16.0, bottom: float = 30.0, side: float = 10.0) -> Column:
+    """``trend_point`` inside a chart's padding; scores below 0 lie on its base."""
+    return F.struct((side + index / (n - 1) * (width - 2 * side)).alias("x"), (top + (height - top - bottom) * (1 - F.greatest(F.lit(0), score) / fixed.FULL_SCORE)).alias("y"))

@@ -161,6 +161,11 @@ def escape_html(c: Column) -> Column:
     return out
 
 
+def escape_tail(c: Column) -> Column:
+    """The open end of a text that is still being written: escaped, with its line ends kept."""
+    return F.replace(escape_html(c), F.lit("\n"), F.lit("<br>"))
+
+
 def without_fences(c: Column) -> Column:
     """JSON text without the code fences around it."""
     return strip(F.regexp_replace(c, r"```(?:json)?", ""))

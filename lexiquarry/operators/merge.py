@@ -54,6 +54,11 @@ def bulk_update(table: DataFrame, ids: DataFrame, values: dict[str, Column], id:
     return flagged.select(*[F.when(F.col("_hit"), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns])
 
 
+def updated(table: DataFrame, ids: DataFrame, id: str = "id") -> DataFrame:
+    """One row: updated, how many rows of the table ``bulk_update`` would change."""
+    return table.join(ids.select(id), id, "left_semi").agg(F.count("*").alias("updated"))
+
+
 def delete(table: DataFrame, ids: DataFrame, id: str = "id") -> DataFrame:
     return table.join(ids.select(id), id, "left_anti")
 

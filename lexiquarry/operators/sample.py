@@ -57,3 +57,8 @@ def test_sets(df: DataFrame, tests: int = 6, size: int = 45, stratum: str = "sub
     best = keyed.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= size)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rn", id))), lambda x: x[id])
     return best.groupBy(stratum, "test_number").agg(ids.alias("question_ids"), F.count("*").alias("question_count")).where(F.col("question_count") == size)
+
+
+def catalogue(sets: DataFrame, subject: str, stratum: str = "subject") -> DataFrame:
+    """The numbered tests of one subject in order of their numbers, without their questions."""
+    return sets.where(F.col(stratum) == subject).drop(stratum, "question_ids").orderBy("test_number")

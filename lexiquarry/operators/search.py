@@ -101,3 +101,45 @@ def page(df: DataFrame, spec: SearchSpec) -> DataFrame:
     """One page of the rows found, in order; a top-k, never a sort of all that is found."""
     found = df.where(condition(df, spec)).orderBy(*ordering(spec)).offset((max(1, spec.page) - 1) * spec.page_size).limit(spec.page_size)
     return found.select(*spec.columns) if spec.columns else found
+
+
+def _precedes(spec: SearchSpec, value, id_) -> Column:
+    """Whether a row stands before the place (value, id) in the search's order."""
+    column, down = spec.sort if spec.sort in spec.sortable else "id", spec.direction == "desc"
+    c, same_id = F.col(column), F.col("id") < F.lit(id_)
+    if value is None:
+        return (c.isNull() & same_id) if down else c.isNotNull() | same_id
+    inside = F.coalesce((c > F.lit(value)) if down else (c < F.lit(value)), F.lit(False)) | F.coalesce((c == F.lit(value)) & same_id, F.lit(False))
+    return c.isNull() | inside if down else inside
+
+
+def deep_page(df: DataFrame, spec: SearchSpec, ranges: int = 32, least: int = 100_000) -> DataFrame:
+    """``page`` for pages however far down: the same rows, without a top-k that grows with the page.
+
+    ``ranges`` places, of the rows with the least hashes, cut the order into ranges; one pass counts the rows of each, and only the ranges that hold
+    the page are looked at again, until they have at most ``least`` rows (or the page's own). The driver gets places and counts only, ``ranges`` at
+    a time. Ids must not be null, and tell rows apart.
+    """
+    found, skip = df.where(condition(df, spec)), (max(1, spec.page) - 1) * spec.page_size
+    column = spec.sort if spec.sort in spec.sortable else "id"
+    rows = None
+    while rows is None or rows > max(least, spec.page_size):
+        places = found.orderBy(F.xxhash64("id"), "id").limit(ranges).orderBy(*ordering(spec)).select(F.col(column).alias("value"), F.col("id").alias("place")).collect()
+        if not places:
+            break
+        range_ = reduce(lambda a, b: a + b, [(~_precedes(spec, r.value, r.place)).cast("int") for r in places])
+        counts = dict(found.groupBy(range_.alias("range")).count().collect())
+        at, before, first, last, in_range = 0, 0, None, 0, 0
+        for k in sorted(counts):
+            if at + counts[k] > skip and at < skip + spec.page_size:
+                first, before = (k, at) if first is None else (first, before)
+                last, in_range = k, in_range + counts[k]
+            at += counts[k]
+        if first is None:
+            found, skip = found.limit(0), 0
+            break
+        if rows is not None and in_range >= rows:
+            break
+        found, skip, rows = found.where(range_.between(first, last)), skip - before, in_range
+    found = found.orderBy(*ordering(spec)).offset(skip).limit(spec.page_size)
+    return found.select(*spec.columns) if spec.columns else found

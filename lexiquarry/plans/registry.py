@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import papers
+from . import branches, papers
 from . import queries as q
 
 
@@ -15,8 +15,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return q.QUERIES | papers.QUERIES
+    return q.QUERIES | papers.QUERIES | branches.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return q.ORACLES | papers.ORACLES
+    return q.ORACLES | papers.ORACLES | branches.ORACLES

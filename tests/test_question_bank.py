@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import scoring, text
-from lexiquarry.operators import chunk, external, latest, layout, lookup, merge, near_duplicates, parse, profile, repair, sample, search, vector
+from lexiquarry.operators import chunk, external, latest, layout, lookup, merge, near_duplicates, parse, profile, repair, sample, search, substring_index, vector
 from lexiquarry.plans import queries
-from lexiquarry.sources import files, sinks
+from lexiquarry.sources import files, sinks, stored
 from lexiquarry.streaming import limits
 
 
@@ -483,3 +483,52 @@ def test_pairs_of_repeated_ids_and_many_equal_sets(spark, threshold):
     df = spark.createDataFrame(rows, "id int, subject string, t string").repartition(3)
     got = [(r.subject, r.id_a, r.id_b, r.exact) for r in near_duplicates.pairs(df, F.col("t"), threshold).collect()]
     assert sorted(got) == sorted(want) and ("g", 1, 2, True) in got
+
+
+@pytest.mark.parametrize(("sort", "direction"), [("year", "asc"), ("year", "desc"), ("id", "asc"), ("name", "desc")])
+def test_deep_pages_equal_pages(spark, sort, direction):
+    rows = [(i * 37 % 400, "S", None if i % 9 == 0 else i % 3, f"n{i % 50}") for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, subject string, year int, name string").repartition(3)
+    for page in (1, 2, 7, 8, 9, 40):
+        spec = search.SearchSpec(sort=sort, direction=direction, page=page, page_size=51, sortable=("id", "year", "name"), columns=("id",))
+        assert [r.id for r in search.deep_page(df, spec, ranges=5, least=60).collect()] == [r.id for r in search.page(df, spec).collect()], page
+    assert search.deep_page(df.where("false"), search.SearchSpec(page=3)).collect() == []
+
+
+@pytest.mark.parametrize("needle", ["ING o", "50%", "a_c%def", "ab", "", "ÜNÏ", "\\x"])
+def test_substring_index_equals_scan(spark, tmp_path, needle):
+    rows = [(1, "going on", None), (2, "xing", "o ing"), (3, "rate 50% ab", ""), (4, "aXc--DEFabc", "zz"), (5, None, "ünï \\x ab"), (6, "", "in"), (7, "ing o", "ING O")]
+    df = spark.createDataFrame(rows, "id int, question string, option_a string")
+    columns = ["question", "option_a"]
+    substring_index.store(substring_index.postings(df, columns), str(tmp_path / "grams"))
+    found, checked = substring_index.search(df, spark.read.parquet(str(tmp_path / "grams")), needle, columns)
+    want = {r.id for r in df.where(search.contains(needle, F.col("question"), F.col("option_a"))).collect()}
+    n = checked.first().checked
+    assert {r.id for r in found.collect()} == want and len(want) <= n <= (7 if not substring_index.needle_grams(needle) else 3)
+
+
+def test_stored_tables_rewrite_touched_parts_only(spark, tmp_path, monkeypatch):
+    kind = "id int, chapter string, version int"
+    table = stored.StoredTable(spark, f"file://{tmp_path}/t", ["id"], 8)
+    rows = [(i, "a", 1) for i in range(100)]
+    table.replace(spark.createDataFrame(rows, kind))
+    before = table.manifest()
+    upsert = lambda t, r: merge.upsert(t, r, ["id"], "version")
+    assert len(before) == 8 and table.change(spark.createDataFrame([(7, "b", 2)], kind), upsert) == 1
+    after = table.manifest()
+    assert sum(before[k] != after[k] for k in before) == 1
+    state = lambda: {r.id: (r.chapter, r.version) for r in table.read().collect()}
+    want = {i: ("a", 1) for i in range(100)} | {7: ("b", 2)}
+    assert state() == want
+    # a change that crashes before its manifest is there leaves the table as it was
+    with monkeypatch.context() as m:
+        m.setattr(stored.StoredTable, "_switch", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            table.change(spark.createDataFrame([(8, "c", 3), (9, "c", 3)], kind), upsert)
+    assert state() == want and table.version() == 2
+    table.change(spark.createDataFrame([(7, None, None)], kind), lambda t, r: merge.delete(t, r))
+    table.change(spark.createDataFrame([(8, "p", None)], kind), lambda t, r: merge.patch(t, r))
+    assert state() == {k: v for k, v in want.items() if k != 7} | {8: ("p", 1)}
+    assert table.change(spark.createDataFrame([], kind), upsert) == 0
+    with pytest.raises(RuntimeError):
+        table._switch({}, table.version())
