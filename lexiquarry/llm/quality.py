@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -16,6 +19,7 @@ GRAMS = (2, 3, 4)
 THRESHOLD = 0.3
 #: Bytes that are looked at together.
 _RUN = 1 << 20
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def buckets(raw: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -42,6 +46,16 @@ def buckets(raw: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def pieces(t: bytes) -> Iterator[tuple[int, int]]:
+    """Ranges of about _RUN bytes that end before white space, where no feature is cut; a longer word stays whole."""
+    at = 0
+    while at < len(t):
+        found = _WHITE.search(t, at + _RUN)
+        end = found.start() if found else len(t)
+        yield at, end
+        at = end
+
+
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """What each bucket adds to the log-odds of label 1, and their constant.
 
@@ -83,21 +97,20 @@ class Scorer:
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         total, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            # a text beyond the run goes through in pieces, cut anywhere: each cut costs the features across it
-            for at in range(0, len(t), _RUN):
-                for _, b in buckets(np.frombuffer(t, np.uint8)[at : at + _RUN]):
+            for a, z in pieces(t):
+                for _, b in buckets(np.frombuffer(t, np.uint8)[a:z]):
                     total[i] += self.margin[b].sum(dtype=np.float64)
                     count[i] += len(b)
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(1, count) + self.constant, -30, 30)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, rows: int = TRAIN_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, rows: int = TRAIN_ROWS, keep: tuple[str, ...] = (), max_bytes: int = TRAIN_BYTES) -> DataFrame:
     """One row per row of ``docs``: ``keep`` columns, doc_id, held_out, score, predicted.
 
-    Learns from a sample of ``rows`` labelled rows at most whose crc32(doc_id) modulo ``modulus`` isn't ``remainder``.
+    Learns from a sample of ``rows`` labelled rows of ``max_bytes`` each at most whose crc32(doc_id) modulo ``modulus`` isn't ``remainder``.
     score is the probability of label 1; a null, empty or blank text has no features and gets the model's
     constant. held_out is false for a null doc_id. Without labelled rows all score 0.5.
     """
     rule = labelled.held_out_rule(modulus, remainder)
-    texts, y = labelled.sample(docs, labels, "quality", rule, rows, TRAIN_BYTES)
+    texts, y = labelled.sample(docs, labels, "quality", rule, rows, max_bytes)
     return labelled.scored(docs, rule, Scorer(*train(texts, y)), THRESHOLD, keep)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,9 +70,12 @@ def place(key: Column, leaves: list[Leaf]) -> Column:
     return _choose(regions)
 
 
-def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 8, leaves: Sequence[Leaf] | None = None, grown: Sequence[Leaf] | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
+    ``leaves`` is the tree, with any weights (``topology(shards)`` unless given), ``grown`` another one, to whose shards grown_shard moves the rows (with one more
+    shard unless given). Where weights change, rows move only into subtrees that gain and out of those that lose.
+
     doc_id and the shard count alone decide the shard (law ``key``); null ids count as the text
     ``null``. size: UTF-8 bytes and 1; a null text has none. slot numbers a shard's rows without gaps
     from 0 by (group of the id's hash, doc_id, checksum, size); rows that are alike in all of these get
@@ -82,7 +86,7 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     group = F.conv(F.substring(F.md5(F.concat(key, F.lit("/slot"))), 1, 3), 16, 10).cast("int")
-    placed = docs.select(F.col("doc_id"), F.col("text"), place(key, topology(shards)).alias("shard"), group.alias("part"))
+    placed = docs.select(F.col("doc_id"), F.col("text"), place(key, list(leaves or topology(shards))).alias("shard"), group.alias("part"))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
@@ -94,7 +98,7 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
         F.lit("key").alias("law"),
         "shard",
         "part",
-        place(key, topology(shards + 1)).alias("grown_shard"),
+        place(key, list(grown or topology(shards + 1))).alias("grown_shard"),
     )
     order = Window.partitionBy("shard", "part").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
     numbered = full.withColumn("rank", F.row_number().over(order) - 1)

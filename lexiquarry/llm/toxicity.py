@@ -11,6 +11,8 @@ from .hashing import mix
 
 #: Labelled rows to learn from, bytes of each, at most.
 TRAIN_ROWS, TRAIN_BYTES = 8_000, 1 << 14
+#: A chance of 1e-20 settles a text; from here on evidence counts by its logarithm.
+KNEE = 20.0
 #: Tokens that the Dirichlet prior of a class is worth, but for a fiftieth of the sample's at most.
 PRIOR = 2_000.0
 #: Standard deviations that a token must differ by to score (signed root of the likelihood ratio), and what each token costs a passage.
@@ -87,6 +89,11 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high in stack]
 
 
+def told(evidence: float) -> float:
+    """Evidence as the logistic curve takes it: beyond KNEE it counts by its logarithm, so more evidence always tells more, and never fills a double."""
+    return min(evidence, KNEE) + float(np.log(max(evidence, KNEE) / KNEE))
+
+
 class Scorer:
     """Probability that a text is toxic, from its passages' scores against chance."""
 
@@ -132,7 +139,7 @@ class Scorer:
             tops = [(len(v), max((s for _, _, s in segments(v)), default=0.0)) for v in other]
             # maximum likelihood of the Gumbel law's scale, given its rate
             self.scale = max(1e-9, len(tops) / max(1e-9, sum(n * np.exp(-self.rate * s) for n, s in tops)))
-        x = np.array([min(60.0, self.evidence(t)) for t in texts])
+        x = np.array([told(self.evidence(t)) for t in texts])
         y = np.asarray(labels, np.float64)
         a = b = 0.0
         for _ in range(50 if len(x) and 0 < y.mean() < 1 else 0):
@@ -145,7 +152,7 @@ class Scorer:
         return self
 
     def __call__(self, texts: list[bytes]) -> list[float]:
-        return [float(1 / (1 + np.exp(-np.clip(self.slope * min(60.0, self.evidence(t)) + self.constant, -30, 30)))) for t in texts]
+        return [float(1 / (1 + np.exp(-np.clip(self.slope * told(self.evidence(t)) + self.constant, -700, 700)))) for t in texts]
 
     def passages(self, text: bytes, chance: float = 0.01) -> list[tuple[int, int, float]]:
         """Token ranges of passages that texts of this length show with less than the given chance."""
@@ -153,13 +160,13 @@ class Scorer:
         return [(a, b, s) for a, b, s in segments(v) if self.scale * len(v) * np.exp(-self.rate * s) < chance]
 
 
-def classify(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, rows: int = TRAIN_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, rows: int = TRAIN_ROWS, keep: tuple[str, ...] = (), max_bytes: int = TRAIN_BYTES) -> DataFrame:
     """One row per row of ``docs``: ``keep`` columns, doc_id, held_out, score, predicted.
 
-    Learns from a sample of ``rows`` labelled rows at most whose crc32(doc_id) modulo ``modulus`` isn't ``remainder``.
+    Learns from a sample of ``rows`` labelled rows of ``max_bytes`` each at most whose crc32(doc_id) modulo ``modulus`` isn't ``remainder``.
     score is the probability of label 1; null, empty and wordless texts have no passage and get the
     least score. held_out is false for a null doc_id. Without labelled rows of both kinds all score 0.5.
     """
     rule = labelled.held_out_rule(modulus, remainder)
-    texts, y = labelled.sample(docs, labels, "toxic", rule, rows, TRAIN_BYTES)
+    texts, y = labelled.sample(docs, labels, "toxic", rule, rows, max_bytes)
     return labelled.scored(docs, rule, Scorer(log_odds(texts, y)).fit(texts, y), THRESHOLD, keep)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiquarry.llm import hashing, minhash, phrases, sharding, suffixes
 
@@ -308,3 +309,23 @@ def test_near_duplicates_in_tiles_equal_brute_force(spark, monkeypatch):
     got = minhash.near_duplicates(frame(spark, rows)).collect()
     want = brute_components(rows, 85)
     assert Counter(tuple(r) for r in got) == want and 3 < len({r.component_id for r in got}) < 90
+
+
+@pytest.mark.parametrize("weight", [3.0, 0.2])
+def test_a_changed_weight_moves_rows_only_into_or_out_of_its_subtrees(spark, weight):
+    import dataclasses
+
+    tree = sharding.topology(8)
+    changed = [dataclasses.replace(x, weight=weight) if x.shard == 5 else x for x in tree]
+    ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    place = {x.shard: (x.region, x.rack, x.shard) for x in tree}
+    region, rack, shard = place[5]
+    moves = [(place[r.shard], place[r.grown_shard]) for r in sharding.assign(ids, 8, tree, changed).select("shard", "grown_shard").collect()]
+    inside = [b if weight > 1 else a for a, b in moves]
+    moved = [(a, b, x) for (a, b), x in zip(moves, inside) if a != b]
+    # between regions only by way of the changed one, between its racks only by way of the changed one, and so on
+    assert all(x[0] == region for a, b, x in moved if a[0] != b[0])
+    assert all(x[1] == rack for a, b, x in moved if a[0] == b[0] and a[1] != b[1]) and all(a[0] == region for a, b, _ in moved if a[0] == b[0])
+    assert all(x[2] == shard and a[1] == rack for a, b, x in moved if a[1] == b[1]) and 0 < len(moved) < len(moves) / 3
+    share = sum(b[2] == 5 for _, b in moves) / len(moves)
+    assert abs(share - weight / (7 + weight)) < 0.02

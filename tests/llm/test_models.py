@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import decontaminate, labelled, media, pieces, pitman_yor, quality, toxicity
+from lexiquarry.llm import decontaminate, hashing, labelled, media, pieces, pitman_yor, quality, toxicity
 
 from .conftest import frame
 
@@ -26,6 +26,52 @@ def crc(i, m):
     return zlib.crc32(str(i).encode()) % m
 
 
+# --- classifiers, parts by brute force ---
+
+def naive_features(text):
+    """Buckets of words and of n-grams of bytes between marks, one word after the other."""
+    out = []
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", text):
+        raw = np.frombuffer(w, np.uint8)
+        out.append(int(hashing.word_hashes(raw, np.array([0]), np.array([len(raw)]))[0]) >> 64 - quality.BUCKET_BITS)
+        marked = [0, *w, 0]
+        for n in quality.GRAMS:
+            for i in range(len(marked) - n + 1):
+                value = n
+                for c in marked[i : i + n]:
+                    value = value << 8 | c
+                out.append((value * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - quality.BUCKET_BITS)
+    return out
+
+
+@pytest.mark.parametrize("run", [1 << 20, 16, 1])
+def test_quality_scores_equal_brute_force(monkeypatch, run):
+    monkeypatch.setattr(quality, "_RUN", run)
+    rng = np.random.default_rng(1)
+    margin = rng.normal(size=1 << quality.BUCKET_BITS)
+    texts = [b"", b" \t", "één Ünï\n a".encode(), b"x" * 50 + b" y", b"ab\x00c  d", b" lead and trail ", bytes(rng.integers(1, 255, 300).astype(np.uint8))]
+    want = [1 / (1 + math.exp(-(sum(margin[b] for b in f) / max(1, len(f)) + 0.3))) for f in map(naive_features, texts)]
+    assert np.allclose(quality.Scorer(margin, 0.3)(texts), want, rtol=1e-9)
+
+
+def test_quality_looks_at_texts_beyond_a_run_whole():
+    text = b" ".join(b"w%d" % (i % 977) for i in range(300_000))
+    assert len(text) > quality._RUN and len(list(quality.pieces(text))) == 2
+    margin = np.random.default_rng(2).normal(size=1 << quality.BUCKET_BITS)
+    features = naive_features(b" ".join(b"w%d" % i for i in range(977)))
+    whole, part = quality.Scorer(margin, 0.0)([text, b" ".join(b"w%d" % i for i in range(977))])
+    assert abs(whole - part) < 1e-3 and abs(math.log(part / (1 - part)) - margin[features].mean()) < 1e-9
+
+
+def test_more_evidence_always_scores_more():
+    x = [0, 1, 19.9, 20, 20.1, 60, 61, 1e4, 1e9]
+    assert [toxicity.told(e) for e in x[:4]] == x[:4] and all(a < b for a, b in zip(map(toxicity.told, x), [toxicity.told(e) for e in x[1:]]))
+    scorer = toxicity.Scorer({b"vile": 3.0})
+    scorer.slope, scorer.constant, scorer.rate, scorer.scale = 0.8, -2.0, 0.5, 0.1
+    scores = scorer([b"vile " * n for n in (1, 10, 100, 1000, 10_000)])
+    assert scores == sorted(scores) and len(set(scores)) == len(scores)
+
+
 # --- classifiers --------------------------------------------------------------------------------
 
 

@@ -39,7 +39,7 @@ def test_each_stage_equals_brute_force(spark, tables):
 
     second = runtime.materialise(near(spark, first, tables), "t")
     rows = [(r.doc_id, r.text) for r in first.collect()]
-    stay = Counter(i for (i, *_, k), n in brute_components(rows, 85).items() for _ in range(n) if k or i is None)
+    stay = Counter(i for (i, *_, k), n in brute_components(rows, corpus_pipeline.NEAR_PERCENT).items() for _ in range(n) if k or i is None)
     assert Counter(r.doc_id for r in second.collect()) == stay and second.columns == docs.columns
 
     third = runtime.materialise(suffix(spark, second, tables), "t")
