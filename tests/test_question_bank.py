@@ -532,3 +532,30 @@ def test_stored_tables_rewrite_touched_parts_only(spark, tmp_path, monkeypatch):
     assert table.change(spark.createDataFrame([], kind), upsert) == 0
     with pytest.raises(RuntimeError):
         table._switch({}, table.version())
+
+
+def test_a_thousand_keywords(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    make = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    keywords = [(i % 40, f"c{i % 40}", make(rng.randrange(1, 7))) for i in range(1000)] + [(3, "c3", None), (50, "last", "ABC")]
+    texts = [(i, make(rng.randrange(0, 60)).upper() if i % 2 else make(5)) for i in range(80)] + [(900, None), (901, "")]
+    best = {}
+    for i, t in texts:
+        low = (t or "").lower()
+        hits = {}
+        for o, c, k in keywords:
+            if k is not None and k.lower() in low:
+                hits[o, c] = hits.get((o, c), 0) + 1
+        best[i] = min(hits, key=lambda x: (-hits[x], x))[1] if hits else None
+    table, df = spark.createDataFrame(keywords, "ordinal int, chapter string, keyword string"), spark.createDataFrame(texts, "id int, question string")
+    for size in (100_000, 7):
+        monkeypatch.setattr(lookup, "AUTOMATON", size)
+        assert {r.id: r.tagged_chapter for r in lookup.keyword_class(df, table).collect()} == best
+    only = lookup.keyword_class(df, table, only=F.col("id") < 5).collect()
+    assert len(only) == len(texts) and all(r.tagged_chapter == (best[r.id] if r.id < 5 else None) for r in only)
+    fragments = spark.createDataFrame([(2, "b-c", "two"), (1, "Bc", "one"), (3, "a", "three")], "ordinal int, fragment string, chapter string")
+    names = spark.createDataFrame([(1, "x_b_c"), (2, "abc"), (3, "zA"), (4, "q"), (5, None)], "id int, name string")
+    want = {1: None, 2: "one", 3: "three", 4: None, 5: None}
+    assert {r.id: r.chapter for r in lookup.first_fragment(names, fragments, F.col("name")).collect()} == want
