@@ -148,7 +148,7 @@ _PLAIN = "list_transform(list_filter(string_split_regex(text, '\\.\\s+'), lambda
 _PLAIN = _PLAIN.format(rest=_quoted("\n(1) one\n(2) two\n(3) three\n(4) four\nAns. ("))
 # the query of this name is registered beside the others
 ORACLES["u4_parse_papers"] = f"""WITH {parsed_sql("standard", f"SELECT doc_id AS id, chr(10) || array_to_string({_PLAIN}, chr(10)) AS text FROM documents")},
-h AS (SELECT *, position / total::DOUBLE AS ratio, {_hits(fixed.BIOLOGY_WORDS)} AS b, {_hits(fixed.CHEMISTRY_WORDS)} AS c, {_hits(fixed.PHYSICS_WORDS)} AS p FROM found_standard)
+h AS (SELECT id, position, number, question, option_a, correct_answer, position / total::DOUBLE AS ratio, {_hits(fixed.BIOLOGY_WORDS)} AS b, {_hits(fixed.CHEMISTRY_WORDS)} AS c, {_hits(fixed.PHYSICS_WORDS)} AS p FROM found_standard)
 SELECT id, position::INTEGER AS position, number, question, option_a, correct_answer, CASE WHEN greatest(b, c, p) = 0 THEN CASE WHEN ratio < 0.33 THEN 'Physics' WHEN ratio < 0.66 THEN 'Chemistry' ELSE 'Biology' END
 WHEN b >= c AND b >= p THEN 'Biology' WHEN c >= p THEN 'Chemistry' ELSE 'Physics' END AS subject FROM h"""
 
