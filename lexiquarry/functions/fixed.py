@@ -79,7 +79,6 @@ QUESTION_LENGTH = 20
 
 # --- fixed values: headers, items and endings of list questions, labels of statements -----------------------------------------------------
 LIST_HEADER = r"(?i)(list|column)\s*[-–—\s]*\b(I{1,2})\b"
-LIST_ITEM = r"\(\s*([a-hA-H])\s*\)|\(\s*([ivxIVX]{1,4})\s*\)|(?:^|\s)([a-hA-H]|\d{1,2})\.(?=\s|$)|(?:^|\s)([ivxIVX]{1,4})\.(?=\s|$)"
 LIST_REPEATED_HEADER = r"(?i)\s*[;,.]?\s*(list|column)\s*[-–—\s]*I{1,2}\s*(\[[^\]]*\])?\s*:?\s*$"
 LIST_TRAILER = r"(?i)\b(choose|select|identify)\b"
 STATEMENT_LABEL = r"(?i)\b(?:assertion\s*\(?\s*[a-z]?\s*\)?|reason\s*\(?\s*[a-z]?\s*\)?|statements?\s*[-\s]*(?:[ivx]{1,3}|[a-h]|\d{1,2}))\s*:"
