@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import replace
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import external, latest, merge, sample, search, substring_index
-from ..sources import files, stored
+from ..operators import external, latest, merge, pivots, sample, search, substring_index
+from ..sources import files, paged, stored
 from . import queries as q
 from .queries import _FOUND_HALF, _PAIRS_HALF
 from .views import BANK, RESULTS, bank, results
@@ -188,3 +190,47 @@ def u12_pages_with_failures(spark, sf):
     odd = F.when(i % 5 == 0, F.substring(html, 1, 30)).when(i % 7 == 0, F.concat(F.lit("<<<" + "-/" * 60), F.substring("url", 1, 20))).otherwise(html)
     pages = files.table(spark, sf, "pages").select(F.floor(i / 8).alias("doc"), (i % 8).alias("page"), odd.alias("text"))
     return external.extract_pages(pages, _reader, "first string, size int").select("doc", "page", "first", "size", "failed")
+
+
+# --- vectors ------------------------------------------------------------------------------------
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS similarity FROM embeddings, q)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INTEGER AS rank, vec_id, similarity FROM s WHERE similarity > 0.2 QUALIFY rank <= 5""")
+def t7_nearest_of_each(spark, sf):
+    e = files.table(spark, sf, "embeddings")
+    return pivots.nearest(e, e.where("vec_id % 100 = 0"), 5, 0.2, id="vec_id").found.withColumnRenamed("id", "vec_id")
+
+
+# --- sources ------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang, text FROM documents")
+def s2_paged_scan(spark, sf):
+    service = paged.ParquetPages(f"{sf}/documents.parquet", ["doc_id", "lang", "text"])
+    return paged.paged(spark, "document_pages", service, "doc_id long, lang string, text string")
+
+
+def _pages_of(content: bytes) -> list[bytes]:
+    """A stand-in for a document library: the rows of a Parquet file are its pages."""
+    return [t.encode() for t in pq.read_table(pa.BufferReader(content), columns=["text"]).column("text").to_pylist()]
+
+
+def _document_files(spark, sf):
+    """The benchmark's files, of a list that also names one that is missing."""
+    every = files.listing(spark, sf, "benchmark*.parquet")
+    config = spark.createDataFrame([("benchmark.parquet", 2013, "q_format"), ("missing.parquet", 2015, "standard")], "file string, year int, format string")
+    return every, config
+
+
+@query("SELECT 2013 AS year, 'q_format' AS format, count(*)::INTEGER AS pages, md5(string_agg(text, chr(10) ORDER BY item_id)) AS text_md5 FROM benchmark")
+def s4_s7_page_texts(spark, sf):
+    every, config = _document_files(spark, sf)
+    texts = files.page_texts(every, lambda content: [t.decode() for t in _pages_of(content)])
+    return files.configured(texts, config).select("year", "format", "pages", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT row_number() OVER (ORDER BY item_id)::INTEGER AS page, base64(encode(text)) AS image FROM benchmark")
+def s10_page_images(spark, sf):
+    return files.page_images(_document_files(spark, sf)[0], lambda content: iter(_pages_of(content))).select("page", "image")

@@ -43,6 +43,23 @@ def page_texts(files: DataFrame, reader: Callable[[bytes], list[str]], separator
     return files.select("path", "content").mapInPandas(run, "path string, pages int, text string")
 
 
+def page_images(files: DataFrame, render: Callable[[bytes], Iterator[bytes]]) -> DataFrame:
+    """path, page (from 1), image: a base64 text for each page that ``render`` (a PDF library of the caller's) draws, one at a time; none from where it fails on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    for n, image in enumerate(render(bytes(content)), 1):
+                        yield pd.DataFrame({"path": [path], "page": [n], "image": [image]})
+                except Exception:  # a damaged file mustn't end the job
+                    continue
+
+    drawn = files.select("path", "content").mapInPandas(run, "path string, page int, image binary")
+    # Spark breaks base64 texts into lines
+    return drawn.withColumn("image", F.translate(F.base64("image"), "\r\n", ""))
+
+
 def payload(c: Column) -> Column:
     """Bytes of a base64 text; null where it is none."""
     return F.try_to_binary(c, F.lit("base64"))

@@ -2,13 +2,16 @@
 
 import datetime as dt
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import scoring, text
-from lexiquarry.operators import chunk, external, latest, layout, lookup, merge, near_duplicates, parse, profile, repair, sample, search, substring_index, vector
+from lexiquarry.operators import chunk, external, latest, layout, lookup, merge, near_duplicates, parse, pivots, profile, repair, sample, search, substring_index, vector
 from lexiquarry.plans import queries
-from lexiquarry.sources import files, sinks, stored
+from lexiquarry.sources import files, paged, sinks, stored
 from lexiquarry.streaming import limits
 
 
@@ -559,3 +562,80 @@ def test_a_thousand_keywords(spark, monkeypatch):
     names = spark.createDataFrame([(1, "x_b_c"), (2, "abc"), (3, "zA"), (4, "q"), (5, None)], "id int, name string")
     want = {1: None, 2: "one", 3: "three", 4: None, 5: None}
     assert {r.id: r.chapter for r in lookup.first_fragment(names, fragments, F.col("name")).collect()} == want
+
+
+def _nearest_by_hand(rows, queries, k, at_least):
+    out = []
+    for q, v in queries:
+        scored = []
+        for i, x in rows:
+            if x and v and len(x) == len(v) and None not in x and np.isfinite(x).all() and np.any(x) and None not in v and np.isfinite(v).all() and np.any(v):
+                s = round(float(np.dot(x, v) / (np.linalg.norm(x) * np.linalg.norm(v))), 6)
+                scored += [(-s, i)] if s > at_least else []
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("rows_of_a_tile", "at_least", "k"), [(8192, 0.5, 3), (7, 0.5, 3), (7, -2.0, 4), (40, 0.99, 50)])
+def test_nearest_of_each(spark, monkeypatch, rows_of_a_tile, at_least, k):
+    monkeypatch.setattr(pivots, "ROWS", rows_of_a_tile)
+    monkeypatch.setattr(pivots, "QUERIES", rows_of_a_tile)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8))
+    near = [(centres[i % 12] + rng.normal(size=8) * 0.1).round(3).tolist() for i in range(300)]
+    # a third of all rows alike, other sizes, and what takes no part
+    vectors = near + [near[0]] * 150 + [[1.0, 2.0], [2.0, 4.0], [1.0], None, [], [0.0] * 8, [None] + [1.0] * 7, [float("nan")] * 8, [float("inf")] + [1.0] * 7]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(3, near[3]), (3, near[3])]
+    queries = rows[::9] + rows[450:] + [(0, near[0])]
+    df = lambda x: spark.createDataFrame([(i, v, "c") for i, v in x], "id long, embedding array<double>, q string")
+    got = pivots.nearest(df(rows), df(queries), k, at_least)
+    assert sorted(map(tuple, got.found.collect())) == _nearest_by_hand(rows, queries, k, at_least)
+    n = got.pruning.first()
+    assert 0 < n.compared <= n.pairs
+    if at_least >= 0.5:
+        assert n.compared < n.pairs / 2
+
+
+def test_nearest_without_rows(spark):
+    none, one = (spark.createDataFrame(x, "id string, embedding array<float>") for x in ([], [("a", [1.0, 0.0])]))
+    for rows, queries in ((none, one), (one, none), (none, none)):
+        found, pruning = pivots.nearest(rows, queries)
+        assert found.collect() == [] and pruning.first() == (0, 0)
+    assert [tuple(r) for r in pivots.nearest(one, one).found.collect()] == [("a", 1, "a", 1.0)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 9, 10, 11, 30, 57])
+def test_pages_end_at_a_short_or_empty_one(spark, tmp_path, n):
+    table = pa.table({"id": list(range(n)), "other": ["x"] * n}, pa.schema([("id", pa.int64()), ("other", pa.string())]))
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def fetch(offset, limit):
+        (asked / str(offset)).touch()
+        return table.slice(offset, limit)
+
+    assert sorted(r.id for r in paged.paged(spark, f"service_{n}", fetch, "id long", size=10, readers=3).collect()) == list(range(n))
+    assert len(list(asked.iterdir())) <= n // 10 + 1 + 3
+
+
+def test_parquet_pages(spark, tmp_path):
+    for name, ids in (("b", range(7, 20)), ("a", range(7)), ("c", [])):
+        pq.write_table(pa.table({"id": pa.array(ids, pa.int64()), "x": pa.array(ids, pa.int64())}), tmp_path / f"{name}.parquet", row_group_size=5)
+    (tmp_path / "_SUCCESS").touch()
+    service = paged.ParquetPages(str(tmp_path), ["id"])
+    assert service(0, 9).column("id").to_pylist() == list(range(9)) and service(4, 100).column("id").to_pylist() == list(range(4, 20))
+    assert service(20, 5).num_rows == 0 and service(19, 5).column_names == ["id"]
+    assert sorted(r.id for r in paged.paged(spark, "stored_pages", service, "id long", size=4, readers=2).collect()) == list(range(20))
+
+
+def test_page_images(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one\ftwo")
+    (tmp_path / "b.pdf").write_bytes(b"!")
+
+    def render(content):
+        if content == b"!":
+            raise ValueError
+        yield from content.split(b"\f")
+
+    found = files.page_images(files.listing(spark, str(tmp_path)), render)
+    assert sorted((r.page, r.image) for r in found.collect()) == [(1, "b25l"), (2, "dHdv" * 40)]
