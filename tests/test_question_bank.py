@@ -629,7 +629,7 @@ def test_parquet_pages(spark, tmp_path):
 
 
 def test_page_images(spark, tmp_path):
-    (tmp_path / "a.pdf").write_bytes(b"one\ftwo")
+    (tmp_path / "a.pdf").write_bytes(b"one\f" + b"two" * 40)
     (tmp_path / "b.pdf").write_bytes(b"!")
 
     def render(content):
