@@ -209,7 +209,7 @@ def t7_nearest_of_each(spark, sf):
 @query("SELECT doc_id, lang, text FROM documents")
 def s2_paged_scan(spark, sf):
     service = paged.ParquetPages(f"{sf}/documents.parquet", ["doc_id", "lang", "text"])
-    return paged.paged(spark, "document_pages", service, "doc_id long, lang string, text string")
+    return paged.paged(spark, "document_pages", service, "doc_id long, lang string, text string", rows=service.rows(), pages_each=16)
 
 
 def _pages_of(content: bytes) -> list[bytes]:

@@ -15,32 +15,38 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 Fetch = Callable[[int, int], pa.Table]
 
 
-class _Turn(InputPartition):
-    def __init__(self, first: int) -> None:
+class _Pages(InputPartition):
+    """Pages first, first + step, ... below end; without an end, up to the service's last."""
+
+    def __init__(self, first: int, step: int, end: int | None) -> None:
         super().__init__(first)
-        self.first = first
+        self.first, self.step, self.end = first, step, end
 
 
-def paged(spark: SparkSession, name: str, fetch: Fetch, schema: str, size: int = 1000, readers: int = 8) -> DataFrame:
+def paged(spark: SparkSession, name: str, fetch: Fetch, schema: str, size: int = 1000, readers: int = 8, rows: int | None = None, pages_each: int = 100) -> DataFrame:
     """All rows of a service whose ``fetch(offset, limit)`` gives a page of rows; ``name`` is the format's name.
 
-    Each of the readers, a partition of its own, takes every ``readers``-th page and ends at its first short or empty one, so
-    nobody needs the number of rows, and no page is held but the current one. The service must keep one order of its rows
-    (by a key, or as stored) while it is read. A page for which ``fetch`` raises fails its task, which Spark tries again.
-    Columns of a page that the schema doesn't name are dropped. A scan of n pages asks for at most n + readers.
+    Where the service tells its number of rows, each reader, a partition of its own, takes ``pages_each`` pages that follow one another;
+    the last goes on behind them, should there be more by now. Where it doesn't, each of ``readers`` takes every ``readers``-th page. A reader ends at its
+    first short or empty page, and no page is held but the current one; a scan of n pages asks for at most n + the number of readers.
+    The service must keep one order of its rows (by a key, or as stored) while it is read. A page for which ``fetch`` raises
+    fails its task, which Spark tries again. Columns of a page that the schema doesn't name are dropped.
     """
-    if size < 1 or readers < 1:
-        raise ValueError("size and readers must be at least 1")
+    if min(size, readers, pages_each) < 1 or (rows or 0) < 0:
+        raise ValueError("size, readers and pages_each must be at least 1, and rows at least 0")
 
     class Reader(DataSourceReader):
         def __init__(self, names: Sequence[str]) -> None:
             self.names = list(names)
 
         def partitions(self) -> Sequence[InputPartition]:
-            return [_Turn(i) for i in range(readers)]
+            if rows is None:
+                return [_Pages(i, readers, None) for i in range(readers)]
+            starts = range(0, max(1, -(-rows // size)), pages_each)
+            return [_Pages(i, 1, None if i == starts[-1] else i + pages_each) for i in starts]
 
-        def read(self, partition: _Turn) -> Iterator[pa.RecordBatch]:
-            for page in count(partition.first, readers):
+        def read(self, partition: _Pages) -> Iterator[pa.RecordBatch]:
+            for page in count(partition.first, partition.step) if partition.end is None else range(partition.first, partition.end, partition.step):
                 rows = fetch(page * size, size)
                 yield from rows.select(self.names).to_batches()
                 if rows.num_rows < size:
@@ -83,6 +89,12 @@ class ParquetPages:
                 self._groups.append((f, g))
                 self._starts.append(self._starts[-1] + footer.row_group(g).num_rows)
 
+    def rows(self) -> int:
+        """The number of rows, from the files' footers."""
+        if self._groups is None:
+            self._open()
+        return self._starts[-1]
+
     def _group(self, i: int) -> pa.Table:
         if self._held[0] != i:
             path, g = self._groups[i]
@@ -91,9 +103,7 @@ class ParquetPages:
         return self._held[1]
 
     def __call__(self, offset: int, limit: int) -> pa.Table:
-        if self._groups is None:
-            self._open()
-        parts, end = [], min(offset + limit, self._starts[-1])
+        parts, end = [], min(offset + limit, self.rows())
         while offset < end:
             i = bisect.bisect_right(self._starts, offset) - 1
             stop = min(end, self._starts[i + 1])
