@@ -214,7 +214,7 @@ def s2_paged_scan(spark, sf):
 
 def _pages_of(content: bytes) -> list[bytes]:
     """A stand-in for a document library: the rows of a Parquet file are its pages."""
-    return [t.encode() for t in pq.read_table(pa.BufferReader(content), columns=["text"]).column("text").to_pylist()]
+    return [(t or "").encode() for t in pq.read_table(pa.BufferReader(content), columns=["text"]).column("text").to_pylist()]
 
 
 def _document_files(spark, sf):
@@ -231,6 +231,7 @@ def s4_s7_page_texts(spark, sf):
     return files.configured(texts, config).select("year", "format", "pages", F.md5("text").alias("text_md5"))
 
 
-@query("SELECT row_number() OVER (ORDER BY item_id)::INTEGER AS page, base64(encode(text)) AS image FROM benchmark")
+@query("SELECT count(*) AS pages, md5(base64(encode(coalesce(text, '')))) AS image_md5 FROM documents GROUP BY 2")
 def s10_page_images(spark, sf):
-    return files.page_images(_document_files(spark, sf)[0], lambda content: iter(_pages_of(content))).select("page", "image")
+    images = files.page_images(files.listing(spark, f"{sf}/documents.parquet", "*.parquet"), _pages_of)
+    return images.groupBy(F.md5("image").alias("image_md5")).agg(F.count("*").alias("pages"))

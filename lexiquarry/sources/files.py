@@ -43,17 +43,31 @@ def page_texts(files: DataFrame, reader: Callable[[bytes], list[str]], separator
     return files.select("path", "content").mapInPandas(run, "path string, pages int, text string")
 
 
-def page_images(files: DataFrame, render: Callable[[bytes], Iterator[bytes]]) -> DataFrame:
-    """path, page (from 1), image: a base64 text for each page that ``render`` (a PDF library of the caller's) draws, one at a time; none from where it fails on."""
+def page_images(files: DataFrame, render: Callable[[bytes], Iterator[bytes]], most: int = 16 << 20) -> DataFrame:
+    """path, page (from 1), image: a base64 text for each page that ``render`` (a PDF library of the caller's) draws, none from where it fails on.
+
+    Images leave a task when they have ``most`` bytes or are 1,000, however many pages a file has.
+    """
+
+    def drawing(content: bytes) -> Iterator[bytes]:
+        yield from render(content)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=["path", "page", "image"])
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    for n, image in enumerate(render(bytes(content)), 1):
-                        yield pd.DataFrame({"path": [path], "page": [n], "image": [image]})
-                except Exception:  # a damaged file mustn't end the job
-                    continue
+                held, size, pages = [], 0, enumerate(drawing(bytes(content)), 1)
+                while True:
+                    try:
+                        n, image = next(pages)
+                    except Exception:  # the end, or a damaged file, which mustn't end the job
+                        break
+                    held.append((path, n, image))
+                    size += len(image)
+                    if size >= most or len(held) == 1000:
+                        yield frame(held)
+                        held, size = [], 0
+                yield frame(held)
 
     drawn = files.select("path", "content").mapInPandas(run, "path string, page int, image binary")
     # Spark breaks base64 texts into lines
