@@ -488,6 +488,31 @@ def test_pairs_of_repeated_ids_and_many_equal_sets(spark, threshold):
     assert sorted(got) == sorted(want) and ("g", 1, 2, True) in got
 
 
+@pytest.mark.parametrize("threshold", [0.35, 0.5, 0.8])
+def test_pairs_in_many_blocks_and_widths_lose_nothing(spark, monkeypatch, threshold):
+    import random
+
+    monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+    monkeypatch.setattr(near_duplicates, "_WIDEST", 256)
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        base = [f"t{rng.randrange(5000)}" for _ in range(rng.choice((3, 20, 60, 150, 400)))]
+        rows += [(4 * i + k, "g" if i % 3 else "h", " ".join(w for w in base if rng.random() < 1 - 0.12 * k)) for k in range(4)]
+    want = set()
+    for i, g, a in rows:
+        for j, h, b in rows:
+            x, y = set(a.split()), set(b.split())
+            if i < j and g == h and x and y and len(x & y) / len(x | y) >= threshold:
+                want.add((i, j))
+    found = near_duplicates.pairs(spark.createDataFrame(rows, "id int, subject string, t string"), F.col("t"), threshold)
+    got = [(r.id_a, r.id_b) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) > 20
+    # no row for each token, nor for each pair that shares one, goes through a shuffle
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(tokens" not in plan and "posexplode" not in plan
+
+
 @pytest.mark.parametrize(("sort", "direction"), [("year", "asc"), ("year", "desc"), ("id", "asc"), ("name", "desc")])
 def test_deep_pages_equal_pages(spark, sort, direction):
     rows = [(i * 37 % 400, "S", None if i % 9 == 0 else i % 3, f"n{i % 50}") for i in range(400)]
