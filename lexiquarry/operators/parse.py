@@ -5,6 +5,8 @@ The patterns are fixed values; white space counts in all of Unicode, as for the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def _unicode(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _marked(line: Column, answer: Column, fmt: str) -> Column:
     """What a line is by itself: an answer, an option with its letter and text, or neither.
 
@@ -31,16 +38,19 @@ def _marked(line: Column, answer: Column, fmt: str) -> Column:
     first = F.translate(head, "ABCD", "abcd")
     digit = (head == "(") & (F.substring(line, 3, 1) == ")") & second.isin("1", "2", "3", "4")
     dotted = (second == ".") & first.isin(*LETTERS)
-    if fmt == "abcd_inline":
-        letter = F.when(dotted & (trimmed(F.substring(line, 3, 1)) == ""), first)
-    else:
-        letter = F.when(digit, F.translate(second, "1234", "abcd"))
-        letter = letter if fmt == "q_format" else letter.when(dotted, first)
-    body = trimmed(F.when(digit, F.substring(line, F.lit(4), F.length(line))).otherwise(F.substring(line, F.lit(3), F.length(line))))
+    spaced = (trimmed(F.substring(line, 3, 1)) == "") if fmt == "abcd_inline" else F.lit(True)
+    none = F.lit("")
+
+    def kind(letter: Column, body: Column, loose: bool) -> Column:
+        letter = F.when(answer == "", letter).otherwise(none) if letter is not none else none
+        return F.struct(answer.alias("answer"), letter.alias("letter"), body.alias("body"), line.alias("line"), F.lit(loose).alias("loose"))
+
+    from_digit = kind(none if fmt == "abcd_inline" else F.translate(second, "1234", "abcd"), trimmed(F.substring(line, F.lit(4), F.length(line))), True)
     # of the inline format a line that begins like an option, but isn't one, never goes on with an option
-    loose = ~dotted if fmt == "abcd_inline" else F.lit(True)
-    letter = F.when(answer == "", letter.otherwise("")).otherwise("")
-    return F.struct(answer.alias("answer"), letter.alias("letter"), F.when(digit | dotted, body).alias("body"), line.alias("line"), loose.alias("loose"))
+    letter = none if fmt == "q_format" else F.when(spaced, first).otherwise(none)
+    from_dot = kind(letter, trimmed(F.substring(line, F.lit(3), F.length(line))), fmt != "abcd_inline")
+    # most lines are of neither kind, so the kinds are told apart once
+    return F.when(digit, from_digit).when(dotted, from_dot).otherwise(kind(none, F.lit(None).cast("string"), True))
 
 
 def _answer(line: Column, fmt: str, compat: bool) -> Column:
@@ -54,26 +64,31 @@ def _question(block: Column, fmt: str, compat: bool) -> Column:
     """A fold over the lines of a block: whether the question's text still goes on, the option that is open, and the texts of all."""
     lines = F.filter(F.transform(F.split(block, "\n"), trimmed), lambda x: x != "")
     if fmt in fixed.PAPER_STOP:
-        # slice() takes what stands before the first line that stops
-        stop = F.array_position(F.transform(lines, lambda x: x.rlike(_unicode(fixed.PAPER_STOP[fmt]))), True)
-        lines = F.slice(lines, F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.size(lines)).cast("int"))
+
+        def read(all: Column) -> Column:
+            # slice() takes what stands before the first line that stops
+            stop = F.array_position(F.transform(all, lambda x: x.rlike(_unicode(fixed.PAPER_STOP[fmt]))), True)
+            return _bound(stop, lambda at: F.when(at > 0, F.slice(all, F.lit(1), (at - 1).cast("int"))).otherwise(all))
+
+        lines = _bound(lines, read)
     zero = F.struct(F.lit(True).alias("open"), F.lit("").alias("option"), F.lit("").alias("answer"), *[F.expr(_NONE).alias(k) for k in ("text", *LETTERS)])
 
     def step(acc: Column, x: Column) -> Column:
-        is_answer, is_option = x["answer"] != "", x["letter"] != ""
-        rest = ~is_answer & ~is_option
-        ends = is_option if fmt == "abcd_inline" else is_option | is_answer
-
-        def option(k: str) -> Column:
-            more = rest & ~acc["open"] & (acc["option"] == k) & x["loose"]
-            return F.when(x["letter"] == k, F.array(x["body"])).when(more, F.concat(acc[k], F.array(x["line"]))).otherwise(acc[k]).alias(k)
+        def state(**changed: Column) -> Column:
+            return F.struct(*[changed.get(k, acc[k]).alias(k) for k in ("open", "option", "answer", "text", *LETTERS)])
 
         bare = F.when(x["line"].rlike(r"(?U)^\d|^Q"), F.regexp_replace(x["line"], _unicode(fixed.PAPER_NUMBER[fmt]), "")).otherwise(x["line"])
-        text = F.when(rest & acc["open"], F.concat(acc["text"], F.array(bare))).otherwise(acc["text"])
-        return F.struct(
-            (acc["open"] & ~ends).alias("open"), F.when(is_option, x["letter"]).otherwise(acc["option"]).alias("option"), F.when(is_answer, x["answer"]).otherwise(acc["answer"]).alias("answer"),
-            text.alias("text"), *[option(k) for k in LETTERS],
-        )
+        begun = {k: F.when(x["letter"] == k, F.array(x["body"])).otherwise(acc[k]) for k in LETTERS}
+        longer = {k: F.when(acc["option"] == k, F.concat(acc[k], F.array(x["line"]))).otherwise(acc[k]) for k in LETTERS}
+        answered = {"answer": x["answer"]} | ({} if fmt == "abcd_inline" else {"open": F.lit(False)})
+        # a line has one kind, so only what that changes is worked out
+        return (
+            F.when(x["letter"] != "", state(open=F.lit(False), option=x["letter"], **begun))
+            .when(x["answer"] != "", state(**answered))
+            .when(acc["open"], state(text=F.concat(acc["text"], F.array(bare))))
+            .when((acc["option"] != "") & x["loose"], state(**longer))
+            .otherwise(acc)
+        )
 
     def done(acc: Column) -> Column:
         number = F.regexp_extract(block, _unicode(fixed.PAPER_NUMBER[fmt]), 1).try_cast("bigint")
