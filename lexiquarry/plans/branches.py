@@ -54,7 +54,9 @@ def _has_grams(needle: str) -> str:
 def f7_indexed_substring(spark, sf):
     b, columns = bank(spark, sf), ["question", "source_pdf_filename"]
     path = f"{stored.scratch(spark)}/grams"
-    substring_index.store(substring_index.postings(b, columns), path)
+    # the documents' part of the bank: all its ids and texts, without a join that labels no text
+    texts = files.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("question"), F.col("source").alias("source_pdf_filename"))
+    substring_index.store(substring_index.postings(texts, columns), path)
     found, checked = substring_index.search(b, spark.read.parquet(path), "ING o%the", columns)
     return found.select("id").crossJoin(checked)
 

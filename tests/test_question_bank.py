@@ -535,6 +535,30 @@ def test_substring_index_equals_scan(spark, tmp_path, needle):
     assert {r.id for r in found.collect()} == want and len(want) <= n <= (7 if not substring_index.needle_grams(needle) else 3)
 
 
+@pytest.mark.parametrize("most", [30, 2 << 20])
+def test_substring_index_holds_lists(spark, tmp_path, most):
+    rows = [(i, "Shared words \U0001f600\0\0 " * 2 + str(i), "ab" if i % 2 else f"x{i % 3}yz\u4e2d") for i in range(60)] + [(60, None, None), (61, "abc" * 40, "")]
+    df = spark.createDataFrame(rows, "id int, question string, option_a string").coalesce(1)
+    want = {}
+    for i, *texts in rows:
+        for t in texts:
+            for k in range(len(t or "") - 2):
+                want.setdefault(t[k : k + 3].lower(), set()).add(i)
+    found = substring_index.postings(df, ["question", "option_a"], most=most)
+    lists, got = found.collect(), {}
+    for r in lists:
+        assert len(set(r.ids)) == len(r.ids)
+        got.setdefault(r.gram, set()).update(r.ids)
+    assert got == want and (most < 100 or len(lists) == len(want))
+    # neither a row nor a shuffled row for each trigram of each text
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "explode" not in plan
+    substring_index.store(found, str(tmp_path / "grams"))
+    hits, checked = substring_index.search(df, spark.read.parquet(str(tmp_path / "grams")), "words%29", ["question", "option_a"])
+    # no trigram of its second part, so the first part's are looked up
+    assert checked.first().checked == 60 and {r.id for r in hits.collect()} == {29}
+
+
 def test_stored_tables_rewrite_touched_parts_only(spark, tmp_path, monkeypatch):
     kind = "id int, chapter string, version int"
     table = stored.StoredTable(spark, f"file://{tmp_path}/t", ["id"], 8)
