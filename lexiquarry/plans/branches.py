@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
 import pandas as pd
-import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
@@ -214,9 +214,11 @@ def s2_paged_scan(spark, sf):
     return paged.paged(spark, "document_pages", service, "doc_id long, lang string, text string", rows=service.rows(), pages_each=16)
 
 
-def _pages_of(content: bytes) -> list[bytes]:
+def _pages_of(path: str) -> Iterator[bytes]:
     """A stand-in for a document library: the rows of a Parquet file are its pages."""
-    return [(t or "").encode() for t in pq.read_table(pa.BufferReader(content), columns=["text"]).column("text").to_pylist()]
+    with pq.ParquetFile(path, buffer_size=1 << 20) as rows:
+        for batch in rows.iter_batches(256, columns=["text"]):
+            yield from ((t.as_py() or "").encode() for t in batch.column("text"))
 
 
 def _document_files(spark, sf):
@@ -229,11 +231,11 @@ def _document_files(spark, sf):
 @query("SELECT 2013 AS year, 'q_format' AS format, count(*)::INTEGER AS pages, md5(string_agg(text, chr(10) ORDER BY item_id)) AS text_md5 FROM benchmark")
 def s4_s7_page_texts(spark, sf):
     every, config = _document_files(spark, sf)
-    texts = files.page_texts(every, lambda content: [t.decode() for t in _pages_of(content)])
+    texts = files.page_texts(every, lambda copy: [t.decode() for t in _pages_of(copy)], by_path=True)
     return files.configured(texts, config).select("year", "format", "pages", F.md5("text").alias("text_md5"))
 
 
 @query("SELECT count(*) AS pages, md5(base64(encode(coalesce(text, '')))) AS image_md5 FROM documents GROUP BY 2")
 def s10_page_images(spark, sf):
-    images = files.page_images(files.listing(spark, f"{sf}/documents.parquet", "*.parquet"), _pages_of)
+    images = files.page_images(files.listing(spark, f"{sf}/documents.parquet", "*.parquet"), _pages_of, by_path=True)
     return images.groupBy(F.md5("image").alias("image_md5")).agg(F.count("*").alias("pages"))
