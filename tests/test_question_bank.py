@@ -406,6 +406,12 @@ def test_near_duplicates_have_pairs_from_half_on(spark, tmp_path):
     assert [(r.id_a, r.id_b, r.overlap) for r in queries.j3_near_duplicates(spark, str(tmp_path)).collect()] == [(1, 2, 0.75)]
 
 
+def test_participants_have_pairs_from_half_on(spark, tmp_path):
+    rows = [(1, "g", "aa bb cc dd"), (2, "g", "aa bb cc"), (3, "g", "cc dd ee ff"), (4, "g", "aa bb xx yy zz")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, queries.j4_participants(spark, str(tmp_path)).collect())) == [(1, "g"), (2, "g")]
+
+
 def test_limits_walk_one_hot_key_and_rows_without_a_time(spark):
     rows = spark.range(40_000).select(F.col("id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("address"), F.timestamp_seconds(F.col("id") * 7 % 40_000).alias("ts"), (F.col("id") % 3 > 0).alias("ok"))
     odd = spark.createDataFrame([(-1, "hot", None, True), (-2, None, dt.datetime(1970, 1, 1), None)], "id long, address string, ts timestamp, ok boolean")
