@@ -75,7 +75,8 @@ def t4_catalogue(spark, sf):
 
 @query(f"{_PAIRS_HALF} SELECT * FROM ({_FOUND_HALF}) f WHERE NOT EXISTS (SELECT 1 FROM documents a JOIN documents b ON a.text = b.text WHERE a.doc_id = f.id_a AND b.doc_id = f.id_b AND a.doc_id % 2 = 0)")
 def j2_real_dismissals(spark, sf):
-    d = files.table(spark, sf, "documents").select("doc_id", "text")
+    # a digest stands for the text
+    d = files.table(spark, sf, "documents").select("doc_id", F.unhex(F.sha2("text", 256)).alias("text"))
     copies = d.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "a").join(d.withColumnRenamed("doc_id", "b"), "text").where("a < b")
     # as a user gives them, in either order
     return q._near(spark, sf, 0.5, dismissed=copies.select(F.col("b").alias("id_a"), F.col("a").alias("id_b")))

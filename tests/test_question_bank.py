@@ -527,6 +527,42 @@ def test_pairs_in_many_blocks_and_widths_lose_nothing(spark, monkeypatch, thresh
     assert "explode(tokens" not in plan and "posexplode" not in plan
 
 
+@pytest.mark.parametrize("threshold", [0.5, 1.0])
+def test_pairs_of_many_copies_are_made_from_classes_in_parts(spark, monkeypatch, threshold):
+    monkeypatch.setattr(near_duplicates, "COPIES", 3)
+    monkeypatch.setattr(near_duplicates, "TOLD", 2)
+    monkeypatch.setattr(near_duplicates, "_MANY", 4)
+    monkeypatch.setattr(near_duplicates, "_STEP", 2)
+    monkeypatch.setattr(near_duplicates, "_WIDE", 8)
+    texts = ["aa bb cc dd"] * 12 + ["aa bb cc"] * 7 + ["aa bb cc dd ee"] + ["xx yy"] * 2 + ["aa xx zz"]
+    rows = [(f"k{i % 20:02}" if i != 5 else None, "g", x) for i, x in enumerate(texts)]
+    want = []
+    for k, (i, _, a) in enumerate(rows):
+        for j, _, b in rows[k + 1 :]:
+            x, y = set(a.split()), set(b.split())
+            if i and j and i != j and len(x & y) / len(x | y) >= threshold:
+                want.append((min(i, j), max(i, j), round(len(x & y) / len(x | y), 3)))
+    found = near_duplicates.pairs(spark.createDataFrame(rows, "id string, subject string, t string").repartition(3), F.col("t"), threshold)
+    assert sorted((r.id_a, r.id_b, r.overlap) for r in found.collect()) == sorted(want)
+
+
+def test_near_pairs_are_not_sent_before_they_are_the_result(spark):
+    rows = [(i, "g", f"aa bb cc dd t{i % 7}") for i in range(20)]
+    found = near_duplicates.pairs(spark.createDataFrame(rows, "id int, subject string, t string"), F.col("t"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("FlatMapGroupsInArrow")] and len(found.collect()) == 190
+
+
+def test_real_dismissals_leave_out_copies_and_send_no_text(spark, tmp_path):
+    rows = [(i, "g", x) for i, x in enumerate(["aa bb cc", "aa bb cc", "AA bb cc", "aa bb cc", "aa bb", None, None, "aa bb"])]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = branches.j2_real_dismissals(spark, str(tmp_path))
+    own = [(i, j) for i, _, a in rows for j, _, b in rows if i < j and a and b and not (a == b and i % 2 == 0)]
+    assert sorted((r.id_a, r.id_b) for r in found.collect()) == own
+    # a copy is known by the digest of its text
+    assert "sha2(" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize(("sort", "direction"), [("year", "asc"), ("year", "desc"), ("id", "asc"), ("name", "desc")])
 def test_deep_pages_equal_pages(spark, sort, direction):
     rows = [(i * 37 % 400, "S", None if i % 9 == 0 else i % 3, f"n{i % 50}") for i in range(400)]
