@@ -553,6 +553,26 @@ def test_near_pairs_are_not_sent_before_they_are_the_result(spark):
     assert "Join" not in plan[: plan.index("FlatMapGroupsInArrow")] and len(found.collect()) == 190
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_few_bits_of_a_pair_are_looked_at_and_lose_nothing(threshold):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = [rng.choice(1 << 20, rng.integers(128, 181), replace=False) for _ in range(150)]
+    sets = sorted([*base, *(np.unique(np.concatenate([x[: int(len(x) * share)], rng.choice(1 << 20, int(len(x) * (1 - share))) + (1 << 20)])) for x in base for share in (0.4, 0.75, 0.95))], key=len)
+    sets = [x for x in sets if 128 <= len(x) < 182]
+    n = np.array([len(x) for x in sets])
+    width = near_duplicates._width(np.array([2 * 181]), threshold)[0]
+    # the first half of these words is looked at; a set of 181 tokens had 16 words at 0.5, and 8 at 0.8
+    assert width // 128 <= {0.5: 8, 0.8: 4}[threshold]
+    tokens = np.concatenate(sets).astype(np.int64) * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF
+    words = near_duplicates._parity(tokens, n, np.full(len(n), width)).view(np.uint64).reshape(len(n), -1)
+    got = [(int(i), int(j)) for p, q in near_duplicates._fitting((n, words), (n, words), threshold, True, 16, 64) for i, j in zip(p, q)]
+    as_sets = [set(x.tolist()) for x in sets]
+    want = {(i, j) for i, x in enumerate(as_sets) for j, y in enumerate(as_sets) if i < j and len(x & y) / len(x | y) >= threshold}
+    assert want and want <= set(got) and len(got) == len(set(got)) < len(want) + 50
+
+
 def test_real_dismissals_leave_out_copies_and_send_no_text(spark, tmp_path):
     rows = [(i, "g", x) for i, x in enumerate(["aa bb cc", "aa bb cc", "AA bb cc", "aa bb cc", "aa bb", None, None, "aa bb"])]
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
