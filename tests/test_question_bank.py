@@ -573,6 +573,13 @@ def test_few_bits_of_a_pair_are_looked_at_and_lose_nothing(threshold):
     assert want and want <= set(got) and len(got) == len(set(got)) < len(want) + 50
 
 
+def test_participants_make_each_pair_once(spark):
+    df = spark.createDataFrame([(i, "g", f"aa bb cc dd t{i % 7}") for i in range(20)] + [(20, "g", "zz")], "id int, subject string, t string")
+    got = near_duplicates.participants(df.select("id"), near_duplicates.pairs(df, F.col("t")))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    assert sorted(r.id for r in got.collect()) == list(range(20))
+
+
 def test_real_dismissals_leave_out_copies_and_send_no_text(spark, tmp_path):
     rows = [(i, "g", x) for i, x in enumerate(["aa bb cc", "aa bb cc", "AA bb cc", "aa bb cc", "aa bb", None, None, "aa bb"])]
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
